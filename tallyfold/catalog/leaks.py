@@ -48,15 +48,14 @@ MEASURES = ["vpip", "pfr", "call_rate", "fold_rate", "raise_rate", "cbet_rate",
 @query("a14_group_metrics", "A14 A15 W7 F2", uses="spots", ctes=f"{q.PREP},\n{q.G3}", sql=f"""SELECT stack_bucket, position, phase, n, {s6(*MEASURES)}, rep.id AS worst_id,
  m_stack_depth_bucket, m_opponent_type, m_opponent_cluster, m_board_texture, m_line_type FROM g3""")
 def _(t):
-    g = lk.group_metrics(prepared(t), lk.GROUP)
+    g = lk.group_metrics(lk.base_groups(prepared(t)), sets=["seat"])
     return g.select(*lk.GROUP, "n", *r6(*MEASURES), F.col("rep.id").alias("worst_id"), *[f"m_{m}" for m in q.MODES])
 
 
 @query("a14_group_metrics_by_texture", "A14 P10", uses="spots", ctes=f"{q.PREP},\n{q.G4}", sql=f"""SELECT stack_bucket, position, phase, board_texture, n, {s6(*MEASURES)} FROM g4""")
 def _(t):
-    p = prepared(t)
-    g = lk.group_metrics(p.where((F.col("flop") != "") | (F.col("turn") != "") | (F.col("river") != "")), [*lk.GROUP, "board_texture"])
-    return g.select(*lk.GROUP, "board_texture", "n", *r6(*MEASURES))
+    g = lk.group_metrics(lk.base_groups(prepared(t)), sets=["texture"])
+    return g.select(*lk.GROUP, F.col("by").alias("board_texture"), "n", *r6(*MEASURES))
 
 
 DET_COLS = ["leak_code", "position", "phase", "stack_bucket", "stack_depth_bucket", "opponent_type", "opponent_cluster", "board_texture", "line_type", "sample_size", "hand_id", "confidence_reason"]
@@ -189,7 +188,7 @@ def _(t):
     return a.unionByName(b)
 
 
-@query("w15_top_components", "W15 C3", uses="spots", ctes=f"{q.DETECT},\n{q.CTX},\n{q.SEV}", sql=f"""SELECT {q.CTX_KEYS}, ROUND(impact_score*0.28,3) AS impact_ev, ROUND(ease*100*0.12,3) AS ease_of_fix,
+@query("w15_top_components", "W15 C3", uses="spots", ctes=f"{q.DETECT},\n{q.CTX},\n{q.SEV}", sql=f"""SELECT {q.CTX_KEYS}, ROUND(ROUND(impact_score*0.28::DOUBLE,4),3) AS impact_ev, ROUND(ROUND(ease*100*0.12::DOUBLE,4),3) AS ease_of_fix,
  array_to_string(list_transform(list_sort([struct_pack(v:=-(impact_score*0.28::DOUBLE), i:=0, k:='impact_ev'), struct_pack(v:=-(recurrence_score*0.16::DOUBLE), i:=1, k:='recurrence_volume'), struct_pack(v:=-(frequency_score*0.16::DOUBLE), i:=2, k:='frequency'),
   struct_pack(v:=-(context_importance*0.16::DOUBLE), i:=3, k:='context_stack_phase'), struct_pack(v:=-(ease*100*0.12::DOUBLE), i:=4, k:='ease_of_fix'), struct_pack(v:=-(distance_from_optimal*100*0.08::DOUBLE), i:=5, k:='distance_from_optimal'),
   struct_pack(v:=-(cascade_score*0.04::DOUBLE), i:=6, k:='cascade_effect'), struct_pack(v:=-(LEAST(100.0::DOUBLE,vop*100)*0.05::DOUBLE), i:=7, k:='vop_deviation')])[1:3], lambda e: e.k), ', ') AS top_names FROM sev""")

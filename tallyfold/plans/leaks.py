@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyfold.functions import cards, fixed_values as fv, play
-from tallyfold.functions.numeric import c, clamp, count_where, finite, fixed, rate, ratio
+from tallyfold.functions.numeric import clamp, count_where, finite, fixed, rate
 from tallyfold.operators.scan import exact_quantiles
 
 VILLAIN = ["villain_vpip", "villain_pfr", "villain_aggression", "villain_fold_to_3bet", "villain_wtsd"]
@@ -92,173 +92,266 @@ def prepare(hands: DataFrame, clusters: DataFrame | None = None, keep: Sequence[
     return out.drop("_okey")
 
 
-def _rep(where: Column | None = None) -> Column:
-    """The group's worst result as a small struct; smallest id on ties."""
-    row = F.struct("id", "showdown", "hero_cards", "opponent_type", "line_type", "stack_bb", "amount", "big_blind", "hero_stack_start", "hero_name", "phase", "board_texture", "line_street")
-    key = F.struct("amount_bb", "id")
-    return F.min_by(row, key if where is None else F.when(where, key))
-
-
-def group_metrics(prep: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All measures the rules read, in one aggregation: map-side partial sums make it skew-safe."""
-    pf = F.col("pf")
-    bet3 = F.col("line_type") == "3BET_POT"
-    jam = F.col("line_type").isin("JAM", "3BET_POT")
-    mode = {m: F.mode(F.col(m), True) for m in ("stack_depth_bucket", "opponent_type", "opponent_cluster", "board_texture", "line_type") if m not in keys}
-    return prep.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.avg("vpip").alias("vpip"),
-        F.avg("pfr").alias("pfr"),
-        rate(pf.rlike("CALL|FLAT")).alias("call_rate"),
-        rate(pf.contains("FOLD")).alias("fold_rate"),
-        rate(pf.rlike("RAISE|3BET|4BET|ALL-IN")).alias("raise_rate"),
-        rate(F.col("flop").contains("BET")).alias("cbet_rate"),
-        rate(F.col("river").rlike("BET|RAISE") & (F.col("amount_bb") < 0)).alias("river_bluff_rate"),
-        ratio(count_where(bet3 & pf.contains("FOLD")), count_where(bet3)).alias("fold_to_3bet_rate"),
-        rate(pf.contains("3BET")).alias("three_bet_rate"),
-        rate(pf.contains("4BET")).alias("four_bet_rate"),
-        F.avg("cascade").alias("cascade_rate"),
-        F.sum("amount_bb").alias("ev_real"),
-        rate(F.col("amount_bb") > 0).alias("win_rate"),
-        F.avg("showdown").alias("showdown_rate"),
-        rate(F.col("river").rlike("BET|RAISE")).alias("river_agg_rate"),
-        count_where(jam).alias("jam_n"),
-        ratio(count_where(jam & pf.contains("CALL")), count_where(jam)).alias("jam_call_rate"),
-        F.sum(F.when(jam, F.col("amount_bb"))).alias("jam_ev_real"),
-        ratio(count_where(jam & (F.col("showdown") > 0)), count_where(jam)).alias("jam_showdown_rate"),
-        _rep().alias("rep"),
-        _rep(jam).alias("jam_rep"),
-        *[m.alias(f"m_{k}") for k, m in mode.items()],
-    ).withColumn("total_ev_lost", F.greatest(F.lit(0.0), -F.col("ev_real"))).withColumn(
-        "avg_loss", F.col("total_ev_lost") / F.col("n")
-    )
+MODE_COLUMNS = ("stack_depth_bucket", "opponent_type", "opponent_cluster", "board_texture", "line_type")
+GROUP = ["stack_bucket", "position", "phase"]
 
+# Additive measures of a play row, summed once and re-summed by every coarser grouping.
+SUMS = {
+    "n": "1",
+    "vpip": "vpip",
+    "pfr": "pfr",
+    "call": "IF(pf RLIKE 'CALL|FLAT', 1, 0)",
+    "fold": "IF(contains(pf, 'FOLD'), 1, 0)",
+    "raise": "IF(pf RLIKE 'RAISE|3BET|4BET|ALL-IN', 1, 0)",
+    "cbet": "IF(contains(flop, 'BET'), 1, 0)",
+    "bluff": "IF(river RLIKE 'BET|RAISE' AND amount_bb < 0, 1, 0)",
+    "pot3": "IF(line_type = '3BET_POT', 1, 0)",
+    "pot3_fold": "IF(line_type = '3BET_POT' AND contains(pf, 'FOLD'), 1, 0)",
+    "bet3": "IF(contains(pf, '3BET'), 1, 0)",
+    "bet4": "IF(contains(pf, '4BET'), 1, 0)",
+    "cascade": "cascade",
+    "ev": "amount_bb",
+    "won": "IF(amount_bb > 0, 1, 0)",
+    "sd": "showdown",
+    "river_agg": "IF(river RLIKE 'BET|RAISE', 1, 0)",
+    "jam": "IF(line_type IN ('JAM', '3BET_POT'), 1, 0)",
+    "jam_call": "IF(line_type IN ('JAM', '3BET_POT') AND contains(pf, 'CALL'), 1, 0)",
+    "jam_ev": "IF(line_type IN ('JAM', '3BET_POT'), amount_bb, 0)",
+    "jam_sd": "IF(line_type IN ('JAM', '3BET_POT') AND showdown > 0, 1, 0)",
+}
+# Rates read by the rules, from the sums.
+RATES = {
+    "n": "s_n",
+    "vpip": "s_vpip / s_n",
+    "pfr": "s_pfr / s_n",
+    "call_rate": "s_call / s_n",
+    "fold_rate": "s_fold / s_n",
+    "raise_rate": "s_raise / s_n",
+    "cbet_rate": "s_cbet / s_n",
+    "river_bluff_rate": "s_bluff / s_n",
+    "fold_to_3bet_rate": "coalesce(try_divide(s_pot3_fold, s_pot3), 0D)",
+    "three_bet_rate": "s_bet3 / s_n",
+    "four_bet_rate": "s_bet4 / s_n",
+    "cascade_rate": "s_cascade / s_n",
+    "ev_real": "s_ev",
+    "win_rate": "s_won / s_n",
+    "showdown_rate": "s_sd / s_n",
+    "river_agg_rate": "s_river_agg / s_n",
+    "jam_n": "s_jam",
+    "jam_call_rate": "coalesce(try_divide(s_jam_call, s_jam), 0D)",
+    "jam_ev_real": "s_jam_ev",
+    "jam_showdown_rate": "coalesce(try_divide(s_jam_sd, s_jam), 0D)",
+    "total_ev_lost": "greatest(0D, -s_ev)",
+    "avg_loss": "greatest(0D, -s_ev) / s_n",
+}
+
+
+def base_groups(prep: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Play reduced to every combination of the categories: the only full pass over play.
+
+    The number of rows is bounded by the category sizes, not by the input, and partial
+    sums are made before the shuffle, so a dominant group costs nothing extra.
+    """
+    keys = [*extra, *GROUP, *MODE_COLUMNS, "postflop", "timed"]
+    src = prep.withColumns({
+        "postflop": F.expr("flop <> '' OR turn <> '' OR river <> ''"),
+        "timed": F.expr("coalesce(decision_ms > 0, false)"),
+    })
+    return src.groupBy(*keys).agg(*[F.expr(f"sum({e})").alias(f"s_{k}") for k, e in SUMS.items()], _rep_min("rep", "TRUE"), _rep_min("jam_rep", "line_type IN ('JAM', '3BET_POT')"))
 
-def _rule(when: Column, code: str, metric: Column, bench: Column, base: float, min_n: int, evidence: list[Column], subset: str = "", **ctx) -> Column:
-    """One candidate detection as a struct, null where the rule does not fire."""
-    n = F.col("jam_n") if subset else F.col("n")
-    return F.when(
-        when & (n >= min_n),
-        F.struct(
-            F.lit(code).alias("leak_code"), metric.cast("double").alias("metric"), bench.cast("double").alias("benchmark"),
-            F.lit(base).alias("base"), n.alias("sample_size"),
-            (F.col("jam_ev_real") if subset else F.col("ev_real")).alias("ev_real"),
-            (F.col("jam_showdown_rate") if subset else F.col("showdown_rate")).alias("showdown_rate"),
-            (F.col("jam_rep") if subset else F.col("rep")).alias("rep"),
-            *[ctx.get(k, d).alias(k) for k, d in _CONTEXT_DEFAULTS().items()],
-            F.array(*evidence).alias("evidence"),
-        ),
-    )
 
+REP_FIELDS = ("id", "showdown", "hero_cards", "opponent_type", "line_type", "stack_bb", "amount", "big_blind", "hero_stack_start", "hero_name", "phase", "board_texture", "line_street")
 
-def _CONTEXT_DEFAULTS() -> dict[str, Column]:
-    return {
-        "stack_depth_bucket": F.col("m_stack_depth_bucket"),
-        "stack_bucket": F.col("stack_bucket"),
-        "opponent_type": F.col("m_opponent_type"),
-        "opponent_cluster": F.lit("Passive"),
-        "board_texture": F.col("m_board_texture"),
-        "line_type": F.col("m_line_type"),
-        "bubble_factor": F.lit(None).cast("double"),
-    }
 
+def _rep_min(name: str, where: str) -> Column:
+    """The worst result as (amount_bb, id, row); smallest id on ties."""
+    row = ", ".join(f"'{x}', {x}" for x in REP_FIELDS)
+    return F.expr(f"min(IF({where}, named_struct('a', amount_bb, 'i', id, 'row', named_struct({row})), NULL))").alias(name)
 
-def _ev(name: str, value: Column, digits: int = 2) -> Column:
-    return F.concat(F.lit(f"{name}="), fixed(value, digits))
 
+SETS = {
+    "seat": "TRUE",
+    "texture": "postflop",
+    "timing": "timed",
+}
 
-def _limits(i: int) -> Column:
-    return play.lookup(F.col("stack_bucket"), {k: v[i] for k, v in fv.DETECTOR_LIMITS.items()}, fv.DETECTOR_LIMITS["MID"][i])
 
+def group_metrics(base: DataFrame, extra: Sequence[str] = (), sets: Sequence[str] = ("seat", "texture", "timing")) -> DataFrame:
+    """Measures and most frequent labels of all rule groups, from the base groups.
 
-def _explode(g: DataFrame, keys: Sequence[str], rules: list[Column]) -> DataFrame:
-    """Detections of a group table, one row per rule that fires."""
-    own = [k for k in keys if k != "stack_bucket"]  # the rule carries the stack bucket itself
-    return g.select(*own, F.explode(F.array_compact(F.array(*rules))).alias("d")).select(*own, "d.*")
+    ``grouping`` tells the three group kinds apart: per seat, per seat and board texture
+    (play that saw a flop), per seat and line (play with a decision time).
+    """
+    member = {
+        "seat": "named_struct('grouping', 'seat', 'by', '')",
+        "texture": "IF(postflop, named_struct('grouping', 'texture', 'by', board_texture), NULL)",
+        "timing": "IF(timed, named_struct('grouping', 'timing', 'by', line_type), NULL)",
+    }
+    rows = base.withColumn("g", F.expr(f"explode(array_compact(array({', '.join(member[x] for x in sets)})))"))
+    keys = [*extra, *GROUP, "grouping", "by"]
+    rows = rows.withColumns({"grouping": F.col("g.grouping"), "by": F.col("g.by")})
+    sums = rows.groupBy(*keys).agg(*[F.sum(f"s_{k}").alias(f"s_{k}") for k in SUMS], F.min("rep").alias("rep"), F.min("jam_rep").alias("jam_rep"))
+    pairs = ", ".join(f"named_struct('k', '{m}', 'v', {m})" for m in MODE_COLUMNS)
+    votes = rows.select(*keys, "s_n", F.expr(f"explode(array({pairs}))").alias("p")).groupBy(*keys, "p").agg(F.sum("s_n").alias("c"))
+    modes = votes.groupBy(*keys).agg(*[
+        F.expr(f"min_by(p.v, IF(p.k = '{m}', named_struct('c', -c, 'v', p.v), NULL))").alias(f"m_{m}") for m in MODE_COLUMNS
+    ])
+    return sums.join(modes, keys).select(*keys, *[F.expr(e).alias(k) for k, e in RATES.items()], F.col("rep.row").alias("rep"), F.col("jam_rep.row").alias("jam_rep"), *[f"m_{m}" for m in MODE_COLUMNS])
+
+
+def group_quantiles(prep: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Stack median of late-phase seats and quartiles of decision time, exact, in one scan."""
+    values = prep.select(*extra, *GROUP, F.expr(
+        "explode(array_compact(array("
+        f"IF(phase IN ({_quoted(fv.LATE_PHASES)}), named_struct('grouping', 'seat', 'by', '', 'v', stack_bb), NULL), "
+        "IF(decision_ms > 0, named_struct('grouping', 'timing', 'by', line_type, 'v', decision_ms), NULL))))"
+    ).alias("x")).select(*extra, *GROUP, "x.*")
+    keys = [*extra, *GROUP, "grouping", "by"]
+    return exact_quantiles(values, keys, F.col("v"), {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+
+
+def _quoted(names) -> str:
+    return ", ".join(f"'{x}'" for x in names)
+
+
+def _case(col: str, table: dict, default) -> str:
+    def lit(v):
+        return f"'{v}'" if isinstance(v, str) else f"{float(v)!r}D"
+
+    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {lit(v)}" for k, v in table.items()) + f" ELSE {lit(default)} END"
+
+
+def _limit(i: int) -> str:
+    return _case("stack_bucket", {k: v[i] for k, v in fv.DETECTOR_LIMITS.items()}, fv.DETECTOR_LIMITS["MID"][i])
+
+
+DERIVED = {
+    "seat_adj": f"({_case('position', fv.SEAT_FACTOR, 1.0)}) * ({_case('phase', fv.PHASE_FACTOR, 1.0)})",
+    "late": f"phase IN ({_quoted(fv.LATE_PHASES)})",
+    "call_max": _limit(4),
+    "fold_max": _limit(5),
+}
+LIMITS = {
+    "vpip_max": f"({_limit(1)}) * seat_adj",
+    "vpip_min": f"({_limit(0)}) * least(1D, seat_adj + 0.05D)",
+    "pfr_min": f"({_limit(2)}) * seat_adj",
+    "pfr_max": f"({_limit(3)}) * (seat_adj + 0.05D)",
+}
+
+# grouping, condition, code, metric, benchmark, base severity, minimum rows, evidence, context overrides.
+# Evidence is (name, measure) pairs printed with two decimals, or fixed text.
+CLUSTER = {"opponent_cluster": "m_opponent_cluster"}
+PRESSURE = {**CLUSTER, "bubble_factor": "round(bf, 3)"}
+TEXTURE = {**CLUSTER, "board_texture": "by"}
+LINE = {**CLUSTER, "line_type": "by"}
+SUMMARY_DEPTH = {"stack_depth_bucket": "stack_bucket"}
+
+
+def _vop(rate: str, limit: str) -> str:
+    return f"abs(least(1D, {rate}) - {limit}) / {limit}"
+
+
+RULES = [
+    ("seat", "vpip > vpip_max", "VPIP_LOOSE", "vpip", "vpip_max", 0.70, 15, [("vpip", "vpip"), ("max", "vpip_max")], CLUSTER),
+    ("seat", "vpip < vpip_min", "VPIP_TIGHT", "vpip", "vpip_min", 0.55, 15, [("vpip", "vpip"), ("min", "vpip_min")], CLUSTER),
+    ("seat", "pfr < pfr_min", "PFR_LOW", "pfr", "pfr_min", 0.65, 15, [("pfr", "pfr"), ("min", "pfr_min")], CLUSTER),
+    ("seat", "pfr > pfr_max", "C_BET_STRONG", "pfr", "pfr_max", 0.55, 15, [("pfr", "pfr"), ("max", "pfr_max")], CLUSTER),
+    ("seat", "position IN ('CO', 'BTN', 'SB', 'BB') AND fold_rate > fold_max", "FOLD_EXCESSIVE", "fold_rate", "fold_max", 0.60, 15,
+     [("fold_rate", "fold_rate"), ("max", "fold_max"), ("vop_dev", _vop("fold_rate", "fold_max"))], {}),
+    ("seat", "position IN ('UTG', 'LJ', 'HJ', 'CO', 'BTN') AND call_rate > call_max", "CALL_EXCESSIVE", "call_rate", "call_max", 0.55, 15,
+     [("call_rate", "call_rate"), ("max", "call_max"), ("vop_dev", _vop("call_rate", "call_max"))], {}),
+    ("seat", "three_bet_rate >= 0.08D", "THREE_BET_WRONG", "three_bet_rate", "0.05D", 0.50, 15, [("3bet_rate", "three_bet_rate")], {}),
+    ("seat", "fold_to_3bet_rate > 0.55D", "FOLD_VS_3BET_HIGH", "fold_to_3bet_rate", "0.55D", 0.62, 15,
+     [("fold_to_3bet", "fold_to_3bet_rate"), "baseline=0.55", ("vop_dev", _vop("fold_to_3bet_rate", "0.55D"))],
+     {**CLUSTER, **SUMMARY_DEPTH, "line_type": "'3BET_POT'"}),
+    ("seat", "four_bet_rate >= 0.03D", "FOUR_BET_WRONG", "four_bet_rate", "0.02D", 0.55, 15, [("4bet_rate", "four_bet_rate")], SUMMARY_DEPTH),
+    ("seat", "late AND fold_rate > 0.70D AND bf <= 1.40D AND position IN ('SB', 'BB', 'BTN', 'CO')", "ICM_PASSIVITY", "fold_rate", "0.55D", 0.78, 15,
+     [("fold_rate", "fold_rate"), ("bubble_factor", "bf"), "icm_passivity=true"], PRESSURE),
+    ("seat", "late AND n >= 15 AND jam_call_rate > 0.24D AND bf >= 1.25D", "ICM_SUICIDE", "jam_call_rate", "0.20D", 0.84, 15,
+     [("call_rate_jam", "jam_call_rate"), ("bubble_factor", "bf"), "icm_suicide=true"], {**PRESSURE, "subset": "jam_"}),
+    ("seat", "late AND bf >= 1.30D AND raise_rate < 0.14D AND position IN ('CO', 'BTN', 'SB')", "ICM_PASSIVITY", "raise_rate", "0.18D", 0.76, 15,
+     [("raise_rate", "raise_rate"), ("bubble_factor", "bf"), "icm_passivity=true"], PRESSURE),
+    ("texture", "cbet_rate < 0.18D AND position IN ('BTN', 'CO', 'HJ') AND phase <> 'FINAL_TABLE'", "C_BET_WEAK", "cbet_rate", "0.25D", 0.50, 20,
+     [("cbet_rate", "cbet_rate")], TEXTURE),
+    ("texture", "cbet_rate > 0.70D AND stack_bucket IN ('LOW', 'MID')", "C_BET_STRONG", "cbet_rate", "0.65D", 0.45, 20, [("cbet_rate", "cbet_rate")], TEXTURE),
+    ("texture", "river_bluff_rate > 0.22D AND win_rate < 0.45D", "BLUFF_BAD", "river_bluff_rate", "0.15D", 0.75, 20,
+     [("river_bluff_rate", "river_bluff_rate"), ("win_rate", "win_rate")], TEXTURE),
+    ("texture", "avg_loss > 0 AND vpip > 0.30D AND pfr < 0.18D", "OVERPLAY_MEDIUM", "avg_loss", "0D", 0.70, 20,
+     [("avg_loss", "avg_loss"), ("vpip", "vpip"), ("pfr", "pfr")], TEXTURE),
+    ("texture", "cascade_rate > 0.45D", "BLUFF_BAD", "cascade_rate", "0.30D", 0.66, 20,
+     [("cascade_rate", "cascade_rate"), "cascade_effect=flop->turn/river"], TEXTURE),
+    ("texture", "showdown_rate > 0.25D AND win_rate < 0.52D AND cbet_rate < 0.45D", "VALUE_BET_LOST", "showdown_rate", "0.25D", 0.60, 20,
+     [("wtsd", "showdown_rate"), ("win_rate", "win_rate")], TEXTURE),
+    ("timing", "by IN ('3BET_POT', 'JAM', 'AGGRESSIVE_POSTFLOP') AND q2 < greatest(1200D, q1)", "TIMING_IMPULSIVE", "q2", "greatest(1800D, q3)", 0.58, 15,
+     [("decision_ms_median", "q2"), "complex_spot"], LINE),
+    ("timing", "by IN ('AGGRESSIVE_POSTFLOP', 'MIXED') AND river_agg_rate > 0.25D AND q2 > greatest(8000D, q3 * 1.5D)", "TIMING_TELEGRAPH", "q2",
+     "greatest(3500D, q3)", 0.50, 15, [("decision_ms_median", "q2"), "slow_bluff_pattern"], LINE),
+]
 
 
-def preflop_rules() -> list[Column]:
-    f = F.col
-    seat_adj = play.lookup(f("position"), fv.SEAT_FACTOR, 1.0) * play.lookup(f("phase"), fv.PHASE_FACTOR, 1.0)
-    vmax, vmin = _limits(1) * seat_adj, _limits(0) * F.least(F.lit(1.0), seat_adj + 0.05)
-    pmin, pmax = _limits(2) * seat_adj, _limits(3) * (seat_adj + 0.05)
-    cmax, fmax = _limits(4), _limits(5)
-    cluster = {"opponent_cluster": f("m_opponent_cluster")}
-    late = f("position").isin("CO", "BTN", "SB", "BB")
-    open_seat = f("position").isin("UTG", "LJ", "HJ", "CO", "BTN")
-    dev = play.participation_deviation
-    n15 = fv.MIN_SAMPLE
-    b55 = F.lit(0.55)
-    return [
-        _rule(f("vpip") > vmax, "VPIP_LOOSE", f("vpip"), vmax, 0.70, n15, [_ev("vpip", f("vpip")), _ev("max", vmax)], **cluster),
-        _rule(f("vpip") < vmin, "VPIP_TIGHT", f("vpip"), vmin, 0.55, n15, [_ev("vpip", f("vpip")), _ev("min", vmin)], **cluster),
-        _rule(f("pfr") < pmin, "PFR_LOW", f("pfr"), pmin, 0.65, n15, [_ev("pfr", f("pfr")), _ev("min", pmin)], **cluster),
-        _rule(f("pfr") > pmax, "C_BET_STRONG", f("pfr"), pmax, 0.55, n15, [_ev("pfr", f("pfr")), _ev("max", pmax)], **cluster),
-        _rule(late & (f("fold_rate") > fmax), "FOLD_EXCESSIVE", f("fold_rate"), fmax, 0.60, n15,
-              [_ev("fold_rate", f("fold_rate")), _ev("max", fmax), _ev("vop_dev", dev(f("fold_rate"), fmax))]),
-        _rule(open_seat & (f("call_rate") > cmax), "CALL_EXCESSIVE", f("call_rate"), cmax, 0.55, n15,
-              [_ev("call_rate", f("call_rate")), _ev("max", cmax), _ev("vop_dev", dev(f("call_rate"), cmax))]),
-        _rule(f("three_bet_rate") >= 0.08, "THREE_BET_WRONG", f("three_bet_rate"), F.lit(0.05), 0.50, n15, [_ev("3bet_rate", f("three_bet_rate"))]),
-        _rule(f("fold_to_3bet_rate") > 0.55, "FOLD_VS_3BET_HIGH", f("fold_to_3bet_rate"), b55, 0.62, n15,
-              [_ev("fold_to_3bet", f("fold_to_3bet_rate")), F.lit("baseline=0.55"), _ev("vop_dev", dev(f("fold_to_3bet_rate"), b55))],
-              stack_depth_bucket=f("stack_bucket"), line_type=F.lit("3BET_POT"), **cluster),
-        _rule(f("four_bet_rate") >= 0.03, "FOUR_BET_WRONG", f("four_bet_rate"), F.lit(0.02), 0.55, n15,
-              [_ev("4bet_rate", f("four_bet_rate"))], stack_depth_bucket=f("stack_bucket")),
-    ]
+def _evidence(items) -> str:
+    out = []
+    for it in items:
+        if isinstance(it, str):
+            out.append("concat('complex_spot=', by)" if it == "complex_spot" else f"'{it}'")
+        else:
+            d = 0 if it[0] == "decision_ms_median" else 2
+            out.append(f"concat('{it[0]}=', format_string('%.{d}f', bround({it[1]}, {d})))")
+    return f"array({', '.join(out)})"
+
+
+def compile_rule(rule) -> str:
+    """One rule as SQL text: a detection struct where it fires, else null."""
+    kind, cond, code, metric, bench, base, min_n, evidence, ctx = rule
+    sub = ctx.get("subset", "")
+    fields = {
+        "leak_code": f"'{code}'", "metric": f"CAST({metric} AS DOUBLE)", "benchmark": f"CAST({bench} AS DOUBLE)", "base": f"{base}D",
+        "sample_size": f"CAST({sub}n AS BIGINT)", "ev_real": f"{sub}ev_real", "showdown_rate": f"{sub}showdown_rate", "rep": f"{sub}rep",
+        "stack_depth_bucket": "m_stack_depth_bucket", "stack_bucket": "stack_bucket", "opponent_type": "m_opponent_type", "opponent_cluster": "'Passive'",
+        "board_texture": "m_board_texture", "line_type": "m_line_type", "bubble_factor": "CAST(NULL AS DOUBLE)",
+    }
+    fields.update({k: v for k, v in ctx.items() if k in fields})
+    body = ", ".join(f"'{k}', {v}" for k, v in fields.items())
+    return f"IF(grouping = '{kind}' AND {sub}n >= {min_n} AND ({cond}), named_struct({body}, 'evidence', {_evidence(evidence)}), NULL)"
 
 
-def pressure_rules() -> list[Column]:
-    """Late-phase rules; ``stack_median`` must be on the group rows."""
-    f = F.col
-    late = f("phase").isin(*fv.LATE_PHASES)
-    bf = play.bubble_factor("stack_median", "phase")
-    ctx = {"opponent_cluster": f("m_opponent_cluster"), "bubble_factor": F.round(bf, 3)}
-    n15 = fv.MIN_SAMPLE
-    base = late & (f("n") >= n15)
-    return [
-        _rule(base & (f("fold_rate") > 0.70) & (bf <= 1.40) & f("position").isin("SB", "BB", "BTN", "CO"), "ICM_PASSIVITY",
-              f("fold_rate"), F.lit(0.55), 0.78, n15, [_ev("fold_rate", f("fold_rate")), _ev("bubble_factor", bf), F.lit("icm_passivity=true")], **ctx),
-        _rule(base & (f("jam_n") > 0) & (f("jam_call_rate") > 0.24) & (bf >= 1.25), "ICM_SUICIDE", f("jam_call_rate"), F.lit(0.20), 0.84, n15,
-              [_ev("call_rate_jam", f("jam_call_rate")), _ev("bubble_factor", bf), F.lit("icm_suicide=true")], subset="jam", **ctx),
-        _rule(base & (bf >= 1.30) & (f("raise_rate") < 0.14) & f("position").isin("CO", "BTN", "SB"), "ICM_PASSIVITY", f("raise_rate"), F.lit(0.18),
-              0.76, n15, [_ev("raise_rate", f("raise_rate")), _ev("bubble_factor", bf), F.lit("icm_passivity=true")], **ctx),
-    ]
+def apply_rules(groups: DataFrame, extra: Sequence[str] = (), rules=RULES) -> DataFrame:
+    """Every rule over every group in one projection; one output row per rule that fires."""
+    g = groups.withColumns({k: F.expr(v) for k, v in DERIVED.items()}).withColumns(
+        {**{k: F.expr(v) for k, v in LIMITS.items()}, "bf": play.bubble_factor("q2", "phase")}
+    )
+    hits = F.expr(f"explode(array_compact(array({', '.join(compile_rule(r) for r in rules)})))").alias("d")
+    own = [*extra, "position", "phase"]
+    return g.select(*own, hits).select(*own, "d.*")
 
 
-def postflop_rules() -> list[Column]:
-    f = F.col
-    ctx = {"opponent_cluster": f("m_opponent_cluster"), "board_texture": f("board_texture")}
-    n20 = fv.MIN_SAMPLE_POSTFLOP
-    return [
-        _rule((f("cbet_rate") < 0.18) & f("position").isin("BTN", "CO", "HJ") & (f("phase") != "FINAL_TABLE"), "C_BET_WEAK", f("cbet_rate"),
-              F.lit(0.25), 0.50, n20, [_ev("cbet_rate", f("cbet_rate"))], **ctx),
-        _rule((f("cbet_rate") > 0.70) & f("stack_bucket").isin("LOW", "MID"), "C_BET_STRONG", f("cbet_rate"), F.lit(0.65), 0.45, n20,
-              [_ev("cbet_rate", f("cbet_rate"))], **ctx),
-        _rule((f("river_bluff_rate") > 0.22) & (f("win_rate") < 0.45), "BLUFF_BAD", f("river_bluff_rate"), F.lit(0.15), 0.75, n20,
-              [_ev("river_bluff_rate", f("river_bluff_rate")), _ev("win_rate", f("win_rate"))], **ctx),
-        _rule((f("avg_loss") > 0) & (f("vpip") > 0.30) & (f("pfr") < 0.18), "OVERPLAY_MEDIUM", f("avg_loss"), F.lit(0.0), 0.70, n20,
-              [_ev("avg_loss", f("avg_loss")), _ev("vpip", f("vpip")), _ev("pfr", f("pfr"))], **ctx),
-        _rule(f("cascade_rate") > 0.45, "BLUFF_BAD", f("cascade_rate"), F.lit(0.30), 0.66, n20,
-              [_ev("cascade_rate", f("cascade_rate")), F.lit("cascade_effect=flop->turn/river")], **ctx),
-        _rule((f("showdown_rate") > 0.25) & (f("win_rate") < 0.52) & (f("cbet_rate") < 0.45), "VALUE_BET_LOST", f("showdown_rate"), F.lit(0.25), 0.60,
-              n20, [_ev("wtsd", f("showdown_rate")), _ev("win_rate", f("win_rate"))], **ctx),
-    ]
+def detect(prep: DataFrame, extra: Sequence[str] = (), sizing: bool = True) -> DataFrame:
+    """Run every group detector. ``extra`` keys split the detection (day, week)."""
+    extra = list(extra)
+    keys = [*extra, *GROUP, "grouping", "by"]
+    groups = group_metrics(base_groups(prep, extra), extra).join(group_quantiles(prep, extra), keys, "left")
+    found = apply_rules(groups, extra)
+    if sizing:
+        found = found.unionByName(sizing_detection(prep, extra))
+    return score_detections(found)
 
 
-def timing_rules() -> list[Column]:
-    """Decision-time rules; the quartiles of decision time must be on the group rows."""
-    f = F.col
-    ctx = {"opponent_cluster": f("m_opponent_cluster"), "line_type": f("line_type")}
-    n15 = fv.MIN_SAMPLE
-    complex_spot = f("line_type").isin("3BET_POT", "JAM", "AGGRESSIVE_POSTFLOP")
-    bluff_spot = f("line_type").isin("AGGRESSIVE_POSTFLOP", "MIXED")
-    ms = F.concat(F.lit("decision_ms_median="), fixed("t_med", 0))
-    return [
-        _rule(complex_spot & (f("t_med") < F.greatest(F.lit(1200.0), f("t_q1"))), "TIMING_IMPULSIVE", f("t_med"),
-              F.greatest(F.lit(1800.0), f("t_q3")), 0.58, n15, [ms, F.concat(F.lit("complex_spot="), f("line_type"))], **ctx),
-        _rule(bluff_spot & (f("river_agg_rate") > 0.25) & (f("t_med") > F.greatest(F.lit(8000.0), f("t_q3") * 1.5)), "TIMING_TELEGRAPH", f("t_med"),
-              F.greatest(F.lit(3500.0), f("t_q3")), 0.50, n15, [ms, F.lit("slow_bluff_pattern")], **ctx),
-    ]
+def sizing_detection(prep: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Share of sizes above their own 90th percentile; rows with no size lower the share."""
+    extra = list(extra)
+    q = exact_quantiles(prep, extra, F.col("bet_size"), {"q90": 0.9})
+    marked = prep.join(q, extra) if extra else prep.withColumn("q90", q.scalar())
+    g = marked.groupBy(*extra).agg(
+        F.expr("avg(IF(bet_size > q90, 1D, 0D))").alias("ratio"),
+        F.expr("count(bet_size)").alias("n"),
+        F.expr("sum(IF(bet_size IS NOT NULL, amount_bb, NULL))").alias("ev_real"),
+        F.expr("avg(IF(bet_size IS NOT NULL, showdown, NULL))").alias("showdown_rate"),
+        _rep_min("rep", "bet_size IS NOT NULL"),
+    )
+    names = ("stack_bucket", "m_stack_depth_bucket", "m_board_texture", "m_line_type", "position", "phase")
+    g = g.withColumns({**{k: F.lit("UNKNOWN") for k in names}, "m_opponent_type": F.lit("unknown"), "grouping": F.lit("all"), "rep": F.col("rep.row")})
+    rule = ("all", "ratio > 0.10D", "OVERBETTING", "ratio", "0.05D", 0.45, fv.MIN_SAMPLE, [("bet_size high frequency", "ratio")], {})
+    return g.select(*extra, "position", "phase", F.expr(f"explode(array_compact(array({compile_rule(rule)})))").alias("d")).select(*extra, "position", "phase", "d.*")
 
 
 def score_detections(d: DataFrame) -> DataFrame:
@@ -293,58 +386,6 @@ def score_detections(d: DataFrame) -> DataFrame:
     ).withColumn("evidence", f("_ev")).drop("_ev", "est", "rep", "base")
 
 
-GROUP = ["stack_bucket", "position", "phase"]
-
-
-def detect(prep: DataFrame, extra: Sequence[str] = (), timing: bool = True, sizing: bool = True) -> DataFrame:
-    """Run every group detector. ``extra`` keys split the detection (day, week)."""
-    extra = list(extra)
-    k3 = [*extra, *GROUP]
-    med = exact_quantiles(prep.where(F.col("phase").isin(*fv.LATE_PHASES)), k3, F.col("stack_bb"), {"stack_median": 0.5})
-    g3 = group_metrics(prep, k3).join(med, k3, "left")
-    out = [_explode(g3, k3, preflop_rules() + pressure_rules())]
-    post = prep.where((F.col("flop") != "") | (F.col("turn") != "") | (F.col("river") != ""))
-    k4 = [*k3, "board_texture"]
-    g4 = group_metrics(post, k4)
-    out.append(_explode(g4, k3, postflop_rules()))
-    if timing:
-        timed = prep.where(F.col("decision_ms") > 0)
-        k5 = [*k3, "line_type"]
-        q = exact_quantiles(timed, k5, F.col("decision_ms"), {"t_q1": 0.25, "t_med": 0.5, "t_q3": 0.75})
-        out.append(_explode(group_metrics(timed, k5).join(q, k5), k3, timing_rules()))
-    found = out[0]
-    for o in out[1:]:
-        found = found.unionByName(o)
-    if sizing:
-        found = found.unionByName(sizing_detection(prep, extra))
-    return score_detections(found)
-
-
-def sizing_detection(prep: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Share of sizes above their own 90th percentile; rows with no size lower the share."""
-    extra = list(extra)
-    q = exact_quantiles(prep, extra, F.col("bet_size"), {"q90": 0.9})
-    if extra:
-        marked = prep.join(q, extra)
-    else:
-        marked = prep.withColumn("q90", q.scalar())
-    sized = F.col("bet_size").isNotNull()
-    over = sized & (F.col("bet_size") > F.col("q90"))
-    g = marked.groupBy(*extra).agg(
-        rate(over).alias("ratio"), count_where(sized).alias("n"), F.sum(F.when(sized, F.col("amount_bb"))).alias("ev_real"),
-        F.avg(F.when(sized, F.col("showdown"))).alias("showdown_rate"), _rep(sized).alias("rep"),
-    )
-    unknown = {k: F.lit("UNKNOWN") for k in ("m_stack_depth_bucket", "stack_bucket", "m_board_texture", "m_line_type", "position", "phase")}
-    for k, v in unknown.items():
-        g = g.withColumn(k, v)
-    g = g.withColumn("m_opponent_type", F.lit("unknown"))
-    for k in ("jam_n", "jam_ev_real", "jam_showdown_rate"):
-        g = g.withColumn(k, F.lit(0.0))
-    g = g.withColumn("jam_rep", F.col("rep"))
-    hit = _rule(F.col("ratio") > 0.10, "OVERBETTING", F.col("ratio"), F.lit(0.05), 0.45, fv.MIN_SAMPLE, [_ev("bet_size high frequency", F.col("ratio"))])
-    return _explode(g, [*extra, *GROUP], [hit])
-
-
 DETECTION_ORDER = ["error_severity", "confidence", "sample_size"]
 
 

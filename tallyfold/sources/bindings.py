@@ -54,7 +54,7 @@ HANDS = [
 # Further play columns, so that every detector and classification has something to read.
 SPOTS = [
     *[(n, "CASE WHEN event_id % 17 = 0 THEN '3BET 900 → folds' WHEN event_id % 19 = 0 THEN '4BET 2200' "
-          "WHEN event_id % 7 = 0 THEN 'calls 400 → calls 900 (all-in)' ELSE " + e + " END") if n == "hero_action_preflop" else (n, e)
+          "WHEN event_id % 7 = 0 THEN 'calls 400 → calls 900 (all-in)' WHEN event_id % 8 = 7 AND event_id % 5 < 3 THEN 'folds' ELSE " + e + " END") if n == "hero_action_preflop" else (n, e)
       for n, e in HANDS],
     ("board_turn", _card("event_id*9", "event_id*3 + 2")),
     ("site_name", "CASE event_id % 3 WHEN 0 THEN 'acr' WHEN 1 THEN 'stars' END"),
@@ -66,8 +66,8 @@ SPOTS = [
     ("villain_aggression", "CASE WHEN event_id % 9 <> 0 THEN ((event_id*11) % 90) / 100.0E0 END"),
     ("villain_fold_to_3bet", "CASE WHEN event_id % 9 <> 0 THEN ((event_id*17) % 80) / 100.0E0 END"),
     ("villain_wtsd", "CASE WHEN event_id % 9 <> 0 THEN ((event_id*19) % 50) / 100.0E0 END"),
-    ("decision_time_ms", "CASE WHEN event_id % 13 <> 0 THEN (event_id*7919) % 14000 END"),
-    ("bet_size", "CASE WHEN event_id % 3 = 0 THEN (event_id*31) % 900 END"),
+    ("decision_time_ms", "CASE WHEN event_id % 13 <> 0 THEN (event_id*7919) % (CASE WHEN event_id % 8 < 3 THEN 2000 ELSE 14000 END) END"),
+    ("bet_size", "CASE WHEN event_id % 40 <> 0 THEN (event_id*31) % 900 END"),
     ("num_players", "2 + event_id % 8"),
     ("ante", "CASE event_id % 5 WHEN 4 THEN 0 ELSE 10 END"),
     ("level", "1 + event_id % 60"),
