@@ -184,7 +184,7 @@ TILT = """, aft AS (SELECT s.*, (SELECT AVG(vpip) FROM ps p WHERE p.k=s.k AND p.
  bas AS (SELECT k, AVG(vpip) AS bv, AVG(amt) AS ba FROM ps WHERE pos<=GREATEST(20,LEAST(80,n//2)) GROUP BY 1), tot AS (SELECT k, SUM(amt) AS ev_real FROM ps GROUP BY 1),
  sc AS (SELECT aft.*, nv-bv AS dv, ba-na AS de, GREATEST(0,nv-bv)*100.0::DOUBLE+GREATEST(0,ba-na)*15.0::DOUBLE+streak_len*6.0::DOUBLE AS score FROM aft JOIN bas USING (k)),
  tl AS (SELECT k, COUNT(*) AS streaks, MAX(streak_len) AS max_streak, coalesce(AVG(dv),0) AS vd, coalesce(AVG(de),0) AS ed, MAX(n) AS sample_size, MAX(score) FILTER (WHERE nv IS NOT NULL) AS ws, first(first_id ORDER BY score DESC, start_pos) FILTER (WHERE nv IS NOT NULL) AS hand_id FROM sc GROUP BY 1)"""
-TILT_OUT = """streaks, max_streak, ROUND(vd,6) AS vpip_delta, ROUND(ed,4) AS ev_delta, sample_size, hand_id, ROUND(LEAST(0.95::DOUBLE,0.45::DOUBLE+streaks/20.0+LEAST(0.25::DOUBLE,vd)),6) AS confidence,
+TILT_OUT = """streaks, max_streak, ROUND(vd,6) AS vpip_delta, ROUND(ed,3) AS ev_delta, sample_size, hand_id, ROUND(LEAST(0.95::DOUBLE,0.45::DOUBLE+streaks/20.0+LEAST(0.25::DOUBLE,vd)),6) AS confidence,
  ROUND(LEAST(1.0::DOUBLE,0.55::DOUBLE+LEAST(0.25::DOUBLE,max_streak/10.0)+LEAST(0.2::DOUBLE,GREATEST(0,vd))),6) AS error_severity, ROUND(ev_real,4) AS ev_real FROM tl JOIN tot USING (k) WHERE ws>0 AND NOT (vd<0.08 AND max_streak<4)"""
 
 
@@ -193,7 +193,7 @@ def timed(t):
 
 
 def tilt_cols(d, *keys):
-    return d.select(*keys, "streaks", "max_streak", F.round("vpip_delta", 6).alias("vpip_delta"), F.round("ev_delta", 4).alias("ev_delta"), "sample_size", "hand_id", F.round("confidence", 6).alias("confidence"),
+    return d.select(*keys, "streaks", "max_streak", F.round("vpip_delta", 6).alias("vpip_delta"), F.round("ev_delta", 3).alias("ev_delta"), "sample_size", "hand_id", F.round("confidence", 6).alias("confidence"),
                     F.round("error_severity", 6).alias("error_severity"), F.round("ev_real", 4).alias("ev_real"))
 
 
@@ -462,10 +462,10 @@ def _(t):
     return vx.recall(e, queries, "label", "embedding", "vec_id").withColumn("distance", F.round("distance", 6))
 
 
-@query("c06_hash_embedding_benchmark", "C6", ctes="tk AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x<>'') AS toks FROM benchmark), tt AS (SELECT item_id, unnest(range(len(toks))) AS i, toks FROM tk), hx AS (SELECT item_id, i, sha256(i || ':' || toks[i+1]) AS h FROM tt), bx AS (SELECT item_id, i, j, CAST('0x' || substr(h, CAST(2*j+1 AS INT), 2) AS INT) AS b FROM (SELECT *, unnest(range(32)) AS j FROM hx)), sl AS (SELECT item_id, (i*131+j*17+b)%384 AS slot, SUM((b-127.5)/127.5::DOUBLE) AS v FROM bx GROUP BY 1,2), nm AS (SELECT item_id, sqrt(SUM(v*v)) AS n FROM sl GROUP BY 1)", sql="SELECT item_id, slot, ROUND(v/n,6) AS v FROM sl JOIN nm USING (item_id)")
+@query("c06_hash_embedding_benchmark", "C6", ctes="tk AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x<>'') AS toks FROM benchmark), tt AS (SELECT item_id, unnest(range(len(toks))) AS i, toks FROM tk), hx AS (SELECT item_id, i, sha256(i || ':' || toks[i+1]) AS h FROM tt), bx AS (SELECT item_id, i, j, CAST('0x' || substr(h, CAST(2*j+1 AS INT), 2) AS INT) AS b FROM (SELECT *, unnest(range(32)) AS j FROM hx)), sl AS (SELECT item_id, (i*131+j*17+b)%384 AS slot, SUM((b-127.5)/127.5::DOUBLE) AS v FROM bx GROUP BY 1,2), nm AS (SELECT item_id, sqrt(SUM(v*v)) AS n FROM sl GROUP BY 1)", sql="SELECT item_id, slot, ROUND(v/n,6) AS v FROM sl JOIN nm USING (item_id) WHERE ROUND(v/n,6)<>0")
 def _(t):
     d = t.benchmark.select("item_id", F.posexplode(vx.hash_embedding(F.col("text"))).alias("slot", "v"))
-    return d.where("v <> 0").select("item_id", F.col("slot").cast("long").alias("slot"), F.round("v", 6).alias("v"))
+    return d.select("item_id", F.col("slot").cast("long").alias("slot"), F.round("v", 6).alias("v")).where("v <> 0")
 
 
 @query("c06_hash_embedding_documents", "C6")
