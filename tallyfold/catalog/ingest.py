@@ -22,7 +22,7 @@ def _(t):
     return shown(readers.csv(t.spark, f"{path}/csv", readers.PLAY_SCHEMA))
 
 
-@query("k02_parquet_round_trip", "K2 K3 S3", uses="hands", sql=ROW)
+@query("k02_parquet_round_trip", "K2 K3 S3 D2", uses="hands", sql=ROW)
 def _(t):
     path = scratch_path(t.spark, "play")
     sinks.export_table(t.hands.select(*COLS), path, csv=False)
@@ -111,7 +111,7 @@ def _(t):
     return sinks.replace_children(target, new, "parent").groupBy("parent").agg(F.count("*").alias("n"))
 
 
-@query("k06_session_upsert_version", "K6 K3 K10", uses="hands sessions", sql="SELECT source_file, COUNT(*) AS hands_count FROM b_hands GROUP BY 1")
+@query("k06_session_upsert_version", "K6 K3 K10 D1", uses="hands sessions", sql="SELECT source_file, COUNT(*) AS hands_count FROM b_hands GROUP BY 1")
 def _(t):
     base = scratch_path(t.spark, "sessions")
     p1 = sinks.write_version(ps.file_rollup(t.hands.where("hand_date < DATE '2024-01-15'")), base, 1)

@@ -11,11 +11,12 @@ NETWORKS = {"ALPHA": "NET_A", "BETA": "NET_B"}
 
 
 def r6(*cols):
-    return [F.round(c, 6).alias(c) for c in cols]
+    """Six decimals; the nudge keeps exact ties on one side in both engines."""
+    return [F.round(F.col(c) + 1e-9, 6).alias(c) for c in cols]
 
 
 def s6(*cols):
-    return ", ".join(f"ROUND({c},6) AS {c}" for c in cols)
+    return ", ".join(f"ROUND({c}+1e-9::DOUBLE,6) AS {c}" for c in cols)
 
 
 def prepared(t, keep=()):
@@ -36,7 +37,7 @@ def _(t):
 
 
 @query("m01_prepared_play", "M1 M2 M3 M5 X1 X6 X7 P15 P16 P17 F1", uses="spots", ctes=q.PREP, sql="""
-SELECT id, ROUND(stack_bb,6) AS stack_bb, ROUND(amount_bb,6) AS amount_bb, position, phase, board_texture, line_type, line_street, opponent_type, opponent_cluster, ROUND(cascade,6) AS cascade,
+SELECT id, ROUND(stack_bb+1e-9::DOUBLE,6) AS stack_bb, ROUND(amount_bb+1e-9::DOUBLE,6) AS amount_bb, position, phase, board_texture, line_type, line_street, opponent_type, opponent_cluster, ROUND(cascade+1e-9::DOUBLE,6) AS cascade,
  stack_depth_bucket, stack_bucket FROM prep""")
 def _(t):
     return prepared(t).select("id", *r6("stack_bb", "amount_bb"), "position", "phase", "board_texture", "line_type", "line_street", "opponent_type", "opponent_cluster", *r6("cascade"), "stack_depth_bucket", "stack_bucket")
@@ -118,13 +119,13 @@ PROFILES = """, pr(h, net, roi, itm, early) AS (VALUES ('ALPHA','NET_A',-88.0::D
   + 0.18::DOUBLE*small_ball + (CASE WHEN stack_depth_bucket IN ('15-20BB','20-25BB') THEN 0.14::DOUBLE ELSE 0 END) + (CASE WHEN leak_code LIKE 'ICM\\_%' ESCAPE '\\' THEN 0.10::DOUBLE ELSE 0 END))) END AS boosted FROM sm)"""
 
 
-@query("m13_slump_boost", "M13", uses="spots", ctes=f"{q.DETECT},\n{q.CTX},\n{q.SEV}{PROFILES}", sql=f"""SELECT {q.CTX_KEYS}, ROUND(CASE WHEN sample_size<12 OR confidence<0.45 THEN LEAST(boosted,59.0::DOUBLE) ELSE boosted END,6) AS severity_score FROM sb""")
+@query("m13_slump_boost", "M13", uses="spots", ctes=f"{q.DETECT},\n{q.CTX},\n{q.SEV}{PROFILES}", sql=f"""SELECT {q.CTX_KEYS}, ROUND(CASE WHEN sample_size<12 OR confidence<0.45 THEN LEAST(boosted,59.0::DOUBLE) ELSE boosted END+1e-9::DOUBLE,6) AS severity_score FROM sb""")
 def _(t):
     prof = t.spark.createDataFrame([("Alpha", "NET_A", -88.0, 6.0, 1.0), ("Beta", "NET_B", -91.0, 14.0, 0.0)], "hero_name string, network string, roi double, itm double, early_finish_rate double")
     return lk.severity(lk.contexts(lk.detect(prepared(t)), NETWORKS), prof).select(*lk.CONTEXT_KEYS, *r6("severity_score"))
 
 
-@query("m14_study_plan", "M14 W4 P14 D9", uses="spots", ctes=q.FULL, sql=f"""SELECT {q.CTX_KEYS}, severity_label, priority, estimated_hours, ROUND(evs_score,6) AS evs_score, ROUND(potential_roi_gain,6) AS expected_roi_gain, position || ' vs field ' || stack_depth_bucket AS spot FROM plan""")
+@query("m14_study_plan", "M14 W4 P14 D9", uses="spots", ctes=q.FULL, sql=f"""SELECT {q.CTX_KEYS}, severity_label, priority, estimated_hours, ROUND(evs_score+1e-9::DOUBLE,6) AS evs_score, ROUND(potential_roi_gain+1e-9::DOUBLE,6) AS expected_roi_gain, position || ' vs field ' || stack_depth_bucket AS spot FROM plan""")
 def _(t):
     return chain(t)[3].select(*lk.CONTEXT_KEYS, "severity_label", "priority", "estimated_hours", *r6("evs_score", "expected_roi_gain"), "spot")
 
@@ -138,8 +139,8 @@ def _(t):
 
 
 @query("a18_breakdown", "A18", uses="spots", ctes=f"{q.DETECT},\n{q.CTX}", sql=" UNION ALL ".join(
-    f"SELECT '{name}' AS dimension, {col} AS value, COUNT(*) AS count, ROUND(SUM(total_ev_lost),6) AS total_ev_lost, CAST(SUM(sample_size) AS BIGINT) AS sample_size, "
-    f"ROUND(SUM(confidence*sample_size)/SUM(sample_size),6) AS avg_confidence, ROUND(SUM(avg_loss_per_hand*sample_size)/SUM(sample_size),6) AS avg_loss_per_hand FROM ctx GROUP BY {col}"
+    f"SELECT '{name}' AS dimension, {col} AS value, COUNT(*) AS count, ROUND(SUM(total_ev_lost)+1e-9::DOUBLE,6) AS total_ev_lost, CAST(SUM(sample_size) AS BIGINT) AS sample_size, "
+    f"ROUND(SUM(confidence*sample_size)/SUM(sample_size)+1e-9::DOUBLE,6) AS avg_confidence, ROUND(SUM(avg_loss_per_hand*sample_size)/SUM(sample_size)+1e-9::DOUBLE,6) AS avg_loss_per_hand FROM ctx GROUP BY {col}"
     for col, name in {"position": "position", "stack_depth_bucket": "stack", "phase": "phase", "opponent_type": "opponent"}.items()))
 def _(t):
     return lk.breakdown(lk.contexts(lk.detect(prepared(t)), NETWORKS)).select("dimension", "value", "count", *r6("total_ev_lost"), "sample_size", *r6("avg_confidence", "avg_loss_per_hand"))
@@ -162,18 +163,18 @@ def _(t):
     return m
 
 
-@query("t02_costly_spots", "T2", uses="spots", ctes=f"{q.DETECT},\n{q.CTX}", sql=f"SELECT {q.CTX_KEYS}, ROUND(total_ev_lost,6) AS total_ev_lost FROM ctx ORDER BY ctx.total_ev_lost DESC, {q.CTX_KEYS} LIMIT 10")
+@query("t02_costly_spots", "T2", uses="spots", ctes=f"{q.DETECT},\n{q.CTX}", sql=f"SELECT {q.CTX_KEYS}, ROUND(total_ev_lost+1e-9::DOUBLE,6) AS total_ev_lost FROM ctx ORDER BY ctx.total_ev_lost DESC, {q.CTX_KEYS} LIMIT 10")
 def _(t):
     return lk.costly_spots(lk.contexts(lk.detect(prepared(t)), NETWORKS)).select(*lk.CONTEXT_KEYS, *r6("total_ev_lost"))
 
 
 @query("t07_ranked_slices", "T7 B9", uses="spots", ctes=q.FULL, sql="""
-SELECT 'top_leaks' AS section, priority_rank AS rank, leak_code, position, severity_label, ROUND(severity_score,6) AS score FROM sev WHERE priority_rank<=10
-UNION ALL SELECT 'study_plan', priority, leak_code, position, severity_label, ROUND(evs_score,6) FROM plan WHERE priority<=8""")
+SELECT 'top_leaks' AS section, priority_rank AS rank, leak_code, position, severity_label, ROUND(severity_score+1e-9::DOUBLE,6) AS score FROM sev WHERE priority_rank<=10
+UNION ALL SELECT 'study_plan', priority, leak_code, position, severity_label, ROUND(evs_score+1e-9::DOUBLE,6) FROM plan WHERE priority<=8""")
 def _(t):
     _, _, sev, plan = chain(t)
-    a = sev.where("priority_rank <= 10").select(F.lit("top_leaks").alias("section"), F.col("priority_rank").alias("rank"), "leak_code", "position", "severity_label", F.round("severity_score", 6).alias("score"))
-    b = plan.where("priority <= 8").select(F.lit("study_plan").alias("section"), F.col("priority").alias("rank"), "leak_code", "position", "severity_label", F.round("evs_score", 6).alias("score"))
+    a = sev.where("priority_rank <= 10").select(F.lit("top_leaks").alias("section"), F.col("priority_rank").alias("rank"), "leak_code", "position", "severity_label", F.round(F.col("severity_score") + 1e-9, 6).alias("score"))
+    b = plan.where("priority <= 8").select(F.lit("study_plan").alias("section"), F.col("priority").alias("rank"), "leak_code", "position", "severity_label", F.round(F.col("evs_score") + 1e-9, 6).alias("score"))
     return a.unionByName(b)
 
 
@@ -208,7 +209,7 @@ LAST = """, lastc AS (SELECT leak_code, first(struct_pack(sc:=severity_score, lb
   FROM b_spots b LEFT JOIN (SELECT * FROM lab WHERE rn=1) l ON l.hand_id=b.id)"""
 
 
-@query("j04_label_enrichment", "J4 W5 J8 B3", uses="spots", ctes=q.FULL + LAST, sql="SELECT id, study_leak_code, ROUND(study_severity_score,6) AS study_severity_score, ROUND(study_confidence,6) AS study_confidence, study_severity_label, study_priority_rank FROM enr")
+@query("j04_label_enrichment", "J4 W5 J8 B3", uses="spots", ctes=q.FULL + LAST, sql="SELECT id, study_leak_code, ROUND(study_severity_score+1e-9::DOUBLE,6) AS study_severity_score, ROUND(study_confidence+1e-9::DOUBLE,6) AS study_confidence, study_severity_label, study_priority_rank FROM enr")
 def _(t):
     det, _, sev, _ = chain(t)
     e = lk.enrich_with_labels(t.spots, lk.study_labels(det, sev))
