@@ -68,24 +68,35 @@ def parse_board(board) -> Column:
     )
 
 
-def _suits(cards: Column) -> Column:
+def suits_of(cards: Column) -> Column:
     return F.transform(F.filter(cards, lambda x: F.length(x) >= 2), lambda x: F.lower(F.substring(x, 2, 1)))
 
 
-def _ranks(cards: Column) -> Column:
+def ranks_of(cards: Column) -> Column:
     return F.transform(F.filter(cards, lambda x: F.length(x) >= 2), lambda x: F.upper(F.substring(x, 1, 1)))
 
 
 def board_texture(board) -> Column:
     """Eight-way texture from any board notation."""
-    cards = parse_board(board)
-    ranks, suits = _ranks(cards), _suits(cards)
-    idx = F.filter(F.transform(ranks, lambda r: F.instr(F.lit(_LOW_FIRST), r)), lambda i: i > 0)
+    return texture_of(parse_board(board))
+
+
+def texture_of(cards: Column) -> Column:
+    """Eight-way texture of an array of cards."""
+    return texture_from(F.size(cards), ranks_of(cards), suits_of(cards), rank_places(ranks_of(cards)))
+
+
+def rank_places(ranks: Column) -> Column:
+    return F.filter(F.transform(ranks, lambda r: F.instr(F.lit(_LOW_FIRST), r)), lambda i: i > 0)
+
+
+def texture_from(n_cards: Column, ranks: Column, suits: Column, idx: Column) -> Column:
+    """The texture ladder over prepared arrays (columns of their own when rows are many)."""
     paired = F.size(F.array_distinct(ranks)) < F.size(ranks)
     n_suits = F.size(F.array_distinct(suits))
     close = (F.size(idx) >= 3) & ((F.array_max(idx) - F.array_min(idx)) <= 4)
     return (
-        F.when(F.size(cards) < 3, "NO_BOARD")
+        F.when(n_cards < 3, "NO_BOARD")
         .when(n_suits == 1, "MONOTONE")
         .when(paired & close, "PAIRED_CONNECTED")
         .when(paired, "PAIRED")
@@ -116,7 +127,7 @@ def board_texture_code(flop) -> Column:
 def board_texture_simple(board) -> Column:
     """monotone / paired / wet / dry over all cards on the table."""
     cards = parse_board(board)
-    ranks, suits = _ranks(cards), _suits(cards)
+    ranks, suits = ranks_of(cards), suits_of(cards)
     idx = F.array_sort(F.array_distinct(F.transform(ranks, lambda r: F.instr(F.lit(_LOW_FIRST), r))))
     n = F.size(idx)
     run = F.exists(

@@ -12,8 +12,8 @@ def c(x) -> Column:
 def finite(x, default: float | None = 0.0) -> Column:
     """The value as double, or the default where it is null, NaN or infinite."""
     v = c(x).cast("double")
-    bad = v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
-    return F.when(bad, F.lit(default).cast("double")).otherwise(v)
+    # NaN sorts above infinity, so one comparison covers null, NaN and both infinities.
+    return F.when(F.abs(v) < F.lit(float("inf")), v).otherwise(F.lit(default).cast("double"))
 
 
 def safe_div(num, den, default: float | None = 0.0) -> Column:

@@ -33,6 +33,17 @@ def _band(value: Column, pick: int) -> Column:
     return out.otherwise(("50bb+", "HIGH")[pick])
 
 
+def band_sql(col: str, pick: int) -> str:
+    """The band ladder as SQL text over a clean column."""
+    rows = [f"WHEN {col} >= {lo} AND {col} < {hi} THEN '{(a, b)[pick]}'" for lo, hi, a, b in fv.STACK_BANDS if hi != fv.INF]
+    return f"CASE {' '.join(rows)} ELSE '{('50bb+', 'HIGH')[pick]}' END"
+
+
+def seat_sql(col: str) -> str:
+    p = f"upper(trim(coalesce({col}, 'UNKNOWN')))"
+    return f"CASE {p} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fv.SEAT_ALIASES.items()) + f" WHEN '' THEN 'UNKNOWN' ELSE {p} END"
+
+
 def stack_band(stack_bb) -> Column:
     return _band(finite(stack_bb), 0)
 
@@ -155,9 +166,14 @@ def normal_action(text) -> Column:
     return F.replace(t, F.lit("ALL IN"), F.lit("ALL-IN"))
 
 
-def line_type(streets=STREETS) -> Column:
+def action_list(streets=STREETS) -> Column:
+    """The non-empty street actions, normalised, in street order."""
+    return F.filter(F.array(*[normal_action(s) for s in streets]), lambda a: a != "")
+
+
+def line_type(acts: Column | None = None) -> Column:
     """Line over the non-empty street actions; the first non-empty one counts as the opening action."""
-    acts = F.filter(F.array(*[normal_action(s) for s in streets]), lambda a: a != "")
+    acts = action_list() if acts is None else acts
     first = F.coalesce(F.try_element_at(acts, F.lit(1)), F.lit(""))
     later_bet = F.exists(F.slice(acts, 2, 4), lambda a: a.contains("BET"))
     return (
@@ -189,9 +205,13 @@ def line_type_by_street(streets=STREETS) -> Column:
 
 def opponent_type(vpip, pfr, agg, f3b, wtsd, stack, big_blind) -> Column:
     raw = [finite(x, -1.0) for x in (vpip, pfr, agg, f3b, wtsd)]
-    seen = F.greatest(*raw) >= 0
-    v, p, a, f, w = [F.greatest(x, F.lit(0.0)) for x in raw]
-    depth = in_bb(stack, big_blind)
+    return opponent_from(raw, in_bb(stack, big_blind))
+
+
+def opponent_from(rates: list[Column], depth: Column) -> Column:
+    """The opponent ladder over clean rates, -1 where unknown."""
+    seen = F.greatest(*rates) >= 0
+    v, p, a, f, w = [F.greatest(x, F.lit(0.0)) for x in rates]
     return (
         F.when(~seen, "unknown")
         .when((v >= 0.45) & (p <= 0.12), "calling station")

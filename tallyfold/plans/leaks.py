@@ -52,31 +52,38 @@ def cluster_by_rule(rates: DataFrame) -> DataFrame:
 def prepare(hands: DataFrame, clusters: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Derived columns every detector reads. ``clusters`` maps opponent_key to a cluster name;
     without it each row's cluster follows from the inferred opponent type."""
-    amount = _or(hands, "won_cents", 0, "long")
-    out = hands.select(
-        *keep,
-        "id",
-        F.col("date_utc"),
-        finite("hero_vpip").alias("vpip"),
-        finite("hero_pfr").alias("pfr"),
-        finite("went_to_showdown").alias("showdown"),
+    # Columns read many times below are projected first, so each is built once per row and the
+    # generated code stays small.
+    one = hands.select(
+        *keep, "id", "date_utc", "hero_stack_start", "big_blind", "hero_cards", "hero_position", "m_ratio", *play.STREETS,
+        *[finite(x).alias(y) for x, y in (("hero_vpip", "vpip"), ("hero_pfr", "pfr"), ("went_to_showdown", "showdown"))],
+        _or(hands, "won_cents", 0, "long").alias("amount"),
+        _or(hands, "tournament_phase", None).alias("_phase"),
         play.in_bb("hero_stack_start", "big_blind").alias("stack_bb"),
-        play.in_bb(amount, "big_blind").alias("amount_bb"),
-        "hero_stack_start", "big_blind", "hero_cards", amount.alias("amount"),
-        play.seat("hero_position").alias("position"),
-        play.phase("m_ratio", _or(hands, "tournament_phase", None)).alias("phase"),
-        cards.board_texture("board_flop").alias("board_texture"),
-        play.line_type().alias("line_type"),
-        play.line_type_by_street().alias("line_street"),
-        play.opponent_type(*[_or(hands, v, None, "double") for v in VILLAIN], "hero_stack_start", "big_blind").alias("opponent_type"),
-        *[F.upper(F.coalesce(F.col(s), F.lit(""))).alias(a) for s, a in zip(play.STREETS, ["pf", "flop", "turn", "river"])],
-        play.cascade_score("hero_action_flop", "hero_action_turn", "hero_action_river", amount).alias("cascade"),
+        play.in_bb(_or(hands, "won_cents", 0, "long"), "big_blind").alias("amount_bb"),
+        *[finite(_or(hands, v, None, "double"), -1.0).alias(f"_{v}") for v in VILLAIN],
+        *[F.upper(F.coalesce(F.col(x), F.lit(""))).alias(y) for x, y in zip(play.STREETS, ["pf", "flop", "turn", "river"])],
+        cards.parse_board("board_flop").alias("_cards"),
+        play.action_list().alias("_acts"),
         _or(hands, "decision_time_ms", None, "double").cast("double").alias("decision_ms"),
         _or(hands, "bet_size", None, "double").cast("double").alias("bet_size"),
         *[F.col(k).cast("string").alias("_okey") for k in OPPONENT_KEYS[:1] if k in hands.columns],
         _or(hands, "hero_name", "UNKNOWN").alias("hero_name"),
     )
-    out = out.withColumn("stack_depth_bucket", play.stack_band("stack_bb")).withColumn("stack_bucket", play.stack_summary("stack_bb"))
+    one = one.withColumns({"_ranks": cards.ranks_of(F.col("_cards")), "_suits": cards.suits_of(F.col("_cards"))})
+    out = one.select(
+        *keep, "id", "date_utc", "vpip", "pfr", "showdown", "stack_bb", "amount_bb", "hero_stack_start", "big_blind", "hero_cards", "amount",
+        "pf", "flop", "turn", "river", "decision_ms", "bet_size", "hero_name", *([F.col("_okey")] if "_okey" in one.columns else []),
+        F.expr(play.seat_sql("hero_position")).alias("position"),
+        play.phase("m_ratio", "_phase").alias("phase"),
+        cards.texture_from(F.size("_cards"), F.col("_ranks"), F.col("_suits"), cards.rank_places(F.col("_ranks"))).alias("board_texture"),
+        play.line_type(F.col("_acts")).alias("line_type"),
+        play.line_type_by_street().alias("line_street"),
+        play.opponent_from([F.col(f"_{v}") for v in VILLAIN], F.col("stack_bb")).alias("opponent_type"),
+        play.cascade_score("flop", "turn", "river", "amount").alias("cascade"),
+        F.expr(play.band_sql("stack_bb", 0)).alias("stack_depth_bucket"),
+        F.expr(play.band_sql("stack_bb", 1)).alias("stack_bucket"),
+    )
     if clusters is not None and "_okey" in out.columns:
         out = out.withColumn("opponent_key", F.coalesce("_okey", "opponent_type"))
         out = out.join(clusters.select("opponent_key", "opponent_cluster"), "opponent_key", "left").drop("opponent_key")

@@ -178,18 +178,33 @@ SQL_TABLES = {
 EXPR_TABLES = {"b_hands": HANDS, "b_spots": SPOTS}
 
 
+# Derived tables whose consumers do heavy per-row text work.
+HEAVY = {"b_spots", "b_blocks", "b_requests", "documents"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core where a scan has fewer splits than cores; a large scan is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied table, or a derived one built from them."""
     if name in EXPR_TABLES:
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        if name in HEAVY:
+            events = spread(events)
         return events.selectExpr(*[f"{e} AS {n}" for n, e in EXPR_TABLES[name]])
     if name in SQL_TABLES:
         text, needs = SQL_TABLES[name]
         used = {}
         for need in sorted(needs, key=len, reverse=True):
             used[need] = table(spark, sf_dir, need)
+            if name in HEAVY:
+                used[need] = spread(used[need])
         return spark.sql(_bind(text, needs), **used)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    plain = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(plain) if name in HEAVY else plain
 
 
 def _bind(text: str, needs: list[str]) -> str:
