@@ -19,28 +19,42 @@ from tallyfold.session import slice_count
 SLICE = "_slice"
 
 
-def add_slice(df: DataFrame, by: Column, slices: int | None = None, sketch_of: DataFrame | None = None) -> DataFrame:
-    """Tag each row with the ordered slice its ``by`` value (numeric) falls in."""
-    n = slices or slice_count(df.sparkSession)
-    probs = [i / n for i in range(1, n)]
-    src = sketch_of if sketch_of is not None else df
-    points = src.select(by.cast("double").alias("v")).agg(
-        F.array_distinct(F.percentile_approx("v", F.array(*[F.lit(p) for p in probs]), F.lit(20 * n))).alias("p")
-    )
+def _place(points: str, value: str, n: int) -> Column:
+    """How many of the sorted points lie below the value, by binary steps."""
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))])
-    found = F.aggregate(
+    return F.aggregate(
         steps,
         F.lit(0),
         lambda pos, s: F.when(
-            (pos + s <= F.size("_points")) & (F.try_element_at(F.col("_points"), pos + s) < F.col("_by")), pos + s
+            (pos + s <= F.size(points)) & (F.try_element_at(F.col(points), pos + s) < F.col(value)), pos + s
         ).otherwise(pos),
     )
-    return (
-        df.withColumn("_points", points.scalar())
-        .withColumn("_by", by.cast("double"))
-        .withColumn(SLICE, F.when(F.col("_points").isNull(), 0).otherwise(found))
-        .drop("_points", "_by")
+
+
+def add_slice(
+    df: DataFrame, by: Column, slices: int | None = None, sketch_of: DataFrame | None = None, tie: Column | None = None
+) -> DataFrame:
+    """Tag each row with the ordered slice its ``by`` value (numeric) falls in.
+
+    A value that fills two or more sketch intervals is hot; with a numeric ``tie`` (the next sort
+    term) its rows are cut again by the tie, so a single repeated value cannot fill one slice.
+    """
+    n = slices or slice_count(df.sparkSession)
+    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    src = sketch_of if sketch_of is not None else df
+    second = (tie if tie is not None else F.lit(0)).cast("double")
+    sketch = src.select(by.cast("double").alias("v"), second.alias("t")).agg(
+        F.percentile_approx("v", probs, F.lit(20 * n)).alias("v"), F.percentile_approx("t", probs, F.lit(20 * n)).alias("t")
     )
+    points = sketch.select(F.struct(
+        F.array_distinct("v").alias("v"),
+        F.array_distinct(F.filter("v", lambda x, i: (i > 0) & (x == F.try_element_at("v", i)))).alias("hot"),
+        F.array_distinct("t").alias("t"),
+    ).alias("p"))
+    d = df.withColumn("_p", points.scalar()).withColumns({"_pv": F.col("_p.v"), "_pt": F.col("_p.t"), "_hot": F.col("_p.hot"), "_by": by.cast("double"), "_tie": second})
+    sub = F.when(F.array_contains("_hot", F.col("_by")), _place("_pt", "_tie", n) + 1).otherwise(0) if tie is not None else F.lit(0)
+    out = F.when(F.col("_pv").isNull(), 0).otherwise(_place("_pv", "_by", n) * (n + 1) + sub)
+    return d.withColumn(SLICE, out).drop("_p", "_pv", "_pt", "_hot", "_by", "_tie")
 
 
 def running_totals(
@@ -52,14 +66,16 @@ def running_totals(
     totals: bool = False,
     slices: int | None = None,
     sketch_of: DataFrame | None = None,
+    tie: Column | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in the given order.
 
-    ``slice_by`` must be a numeric column that sorts like the first order term.
+    ``slice_by`` must be a numeric column that sorts like the first order term, ``tie`` one that
+    sorts like the second.
     With ``totals`` each sum's whole-key total is added as ``<name>_total``.
     """
     keys = list(keys)
-    s = add_slice(df, slice_by, slices, sketch_of)
+    s = add_slice(df, slice_by, slices, sketch_of, tie)
     names = list(sums)
     for n in names:
         s = s.withColumn(f"_v_{n}", sums[n])
@@ -86,10 +102,11 @@ def carry_forward(
     columns: Sequence[str],
     slice_by: Column,
     slices: int | None = None,
+    tie: Column | None = None,
 ) -> DataFrame:
     """Replace each column by its latest non-null value so far within the key."""
     keys = list(keys)
-    s = add_slice(df, slice_by, slices)
+    s = add_slice(df, slice_by, slices, tie=tie)
     local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     at = F.struct(*[F.col(o) for o in order])
     ends = s.groupBy(*keys, SLICE).agg(

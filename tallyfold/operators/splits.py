@@ -11,7 +11,7 @@ def session_splits(rows: DataFrame, at: str = "date_utc") -> DataFrame:
     """train / val / test per session: the first 60 %, next 20 %, rest by first activity."""
     f = F.col
     s = rows.groupBy("session_id").agg(F.min(at).alias("started"))
-    s = running_totals(s, [], [f("started"), f("session_id")], {"place": F.lit(1)}, F.unix_micros(f("started").cast("timestamp")), totals=True)
+    s = running_totals(s, [], [f("started"), f("session_id")], {"place": F.lit(1)}, F.unix_micros(f("started").cast("timestamp")), totals=True, tie=f("session_id"))
     n = f("place_total")
     train = F.greatest(F.lit(1), F.floor(n * 0.6))
     val = F.greatest(train + 1, F.floor(n * 0.8))

@@ -17,7 +17,7 @@ def positioned(rows: DataFrame, keys: Sequence[str], loss: Column, at: str = "da
     """Adds pos (1-based place in time), wins (non-losses so far) and n (rows of the key)."""
     by = F.unix_micros(F.col(at).cast("timestamp"))
     r = running_totals(
-        rows.withColumn("_loss", loss), keys, [F.col(at), F.col(tie)], {"pos": F.lit(1), "wins": F.when(F.col("_loss"), 0).otherwise(1)}, by, totals=True
+        rows.withColumn("_loss", loss), keys, [F.col(at), F.col(tie)], {"pos": F.lit(1), "wins": F.when(F.col("_loss"), 0).otherwise(1)}, by, totals=True, tie=F.col(tie)
     )
     return r.withColumnRenamed("pos_total", "n").drop("wins_total")
 

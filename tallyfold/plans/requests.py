@@ -63,7 +63,7 @@ def with_session_settings(parsed: DataFrame) -> DataFrame:
     """Latest SET values of the session on every later row. A session of any size is scanned in time slices."""
     d = parsed.withColumns({k: F.when(F.col("is_set"), setting(F.col("_raw"), names)) for k, names in SETTINGS.items()})
     by = F.unix_micros(F.col("received_at").cast("timestamp"))
-    return carry_forward(d, ["session_id"], ["received_at", "request_id"], list(SETTINGS), by)
+    return carry_forward(d, ["session_id"], ["received_at", "request_id"], list(SETTINGS), by, tie=F.col("request_id"))
 
 
 def score(parsed: DataFrame) -> DataFrame:

@@ -29,6 +29,16 @@ def test_slices_split_a_hot_key(skewed):
     assert len(sizes) >= 14 and max(sizes) < 3 * 2000 / 16
 
 
+def test_a_repeated_sort_value_is_cut_by_the_tie(skewed):
+    d = skewed.where("k = 0").withColumn("t", F.when(F.col("id") % 4 < 3, 100).otherwise(F.col("id")))
+    sizes = [r["count"] for r in scan.add_slice(d, F.col("t"), 16, tie=F.col("id")).groupBy(scan.SLICE).count().collect()]
+    n = d.count()
+    assert sum(sizes) == n and max(sizes) < 3 * n / 16
+    r = scan.running_totals(d, ["k"], [F.col("t"), F.col("id")], {"pos": F.lit(1)}, F.col("t"), tie=F.col("id"), slices=16)
+    want = d.select("id", F.row_number().over(W.partitionBy("k").orderBy("t", "id")).alias("p"))
+    assert r.join(want, "id").where(F.col("pos") != F.col("p")).count() == 0
+
+
 def test_exact_quantiles_match_numpy(skewed):
     q = {r["k"]: r for r in scan.exact_quantiles(skewed, ["k"], F.col("v"), {"a": 0.1, "b": 0.5, "c": 0.9}).collect()}
     for k, part in skewed.toPandas().groupby("k"):
