@@ -70,10 +70,10 @@ def messages_to_sessions(turns: DataFrame, per_row: int = 256) -> DataFrame:
     session of any length stays a set of bounded rows."""
     seg = F.floor(F.col("turn") / per_row).cast("long")
     g = turns.groupBy("conv_id", seg.alias("segment")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    return g.select("conv_id", "segment", F.transform("m", lambda x: x["text"]).alias("messages"), F.transform("m", lambda x: x["role"]).alias("roles"), F.col("m")[0]["turn"].alias("first_turn"))
+    return g.select("conv_id", "segment", F.transform("m", lambda x: x["text"]).alias("messages"), F.transform("m", lambda x: x["role"]).alias("roles"), F.transform("m", lambda x: x["turn"]).alias("turns"))
 
 
 def sessions_to_messages(sessions: DataFrame) -> DataFrame:
-    return sessions.select("conv_id", F.posexplode(F.arrays_zip("messages", "roles")).alias("i", "z"), "first_turn").select(
-        "conv_id", (F.col("first_turn") + F.col("i")).alias("turn"), F.col("z.roles").alias("role"), F.col("z.messages").alias("text")
+    return sessions.select("conv_id", F.explode(F.arrays_zip("turns", "roles", "messages")).alias("z")).select(
+        "conv_id", F.col("z.turns").alias("turn"), F.col("z.roles").alias("role"), F.col("z.messages").alias("text")
     )
