@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfold.llm import decontaminate, pieces, rans, simhash
+from tallyfold.llm import decontaminate, histogram_sort, pieces, quality_rules, rans, simhash, site_lines
 from tallyfold.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,22 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_benchmark_decontamination")
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op7_risk_controlled_rules")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op8_site_line_dedup", site_lines.SQL)
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = site_lines.page_lines(read(spark, sf_dir, "pages"))
+    kept = site_lines.without_boilerplate(pages, F.regexp_extract("url", site_lines.PAGE_HOST, 1), counts=True)
+    return kept.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("op9_histogram_sort_shards")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    return histogram_sort.sharded(docs, 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
