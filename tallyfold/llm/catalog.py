@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfold.llm import decontaminate, histogram_sort, pieces, quality_rules, rans, simhash, site_lines
+from tallyfold.llm import decontaminate, histogram_sort, pieces, pu_quality, quality_rules, rans, simhash, site_lines
 from tallyfold.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     return histogram_sort.sharded(docs, 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_pu_quality_classifier")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
