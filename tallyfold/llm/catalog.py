@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfold.llm import decontaminate, histogram_sort, pieces, pu_quality, quality_rules, rans, simhash, site_lines
+from tallyfold.llm import decontaminate, histogram_sort, personal_data, pieces, pu_quality, quality_rules, rans, simhash, site_lines
 from tallyfold.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pu_quality_classifier")
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op10_weak_supervision_pii")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.summary(read(spark, sf_dir, "documents"))
