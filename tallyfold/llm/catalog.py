@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfold.llm import decontaminate, histogram_sort, personal_data, pieces, pu_quality, quality_rules, rans, simhash, site_lines
+from tallyfold.llm import decontaminate, histogram_sort, personal_data, pieces, pu_quality, quality_rules, rans, revisits, simhash, site_lines
 from tallyfold.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_weak_supervision_pii")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.summary(read(spark, sf_dir, "documents"))
+
+
+@query("op3_warc_revisit_resolution", revisits.SQL)
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.resolved(revisits.captures_of(read(spark, sf_dir, "pages"))).withColumn("headers", revisits.header_text(F.col("headers")))
