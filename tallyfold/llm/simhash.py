@@ -56,19 +56,23 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(first), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """(doc_id, fp) with fp the 64-bit SimHash as a signed long.
 
     A-Z are lower-cased, words are what stands between ASCII white space, shingles are 4 words (all words of a
     shorter text), repeats count. A bit is set if more than half the shingles' hashes have it. A null, empty or
-    blank text has fingerprint zero.
+    blank text has fingerprint zero. With ``with_hash`` text_hash, a 64-bit hash of the text as it is, is added.
     """
 
     def run(b: pa.RecordBatch) -> dict:
-        fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64)
-        return {"doc_id": b.column(0), "fp": fps.view(np.int64)}
+        fps = np.array([fingerprint(t) for t in b["text"].to_pylist()], np.uint64)
+        return {n: b[n] for n in b.schema.names} | {"fp": fps.view(np.int64)}
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    more = ""
+    if with_hash:
+        given, more = given.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))), ", text_hash long"
+    return map_batches(given, run, f"doc_id long, fp long{more}")
 
 
 # --- Golay keys ---
@@ -252,3 +256,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     owner = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every component, the one with the least doc_id (null ids last, ties by the text's hash), with all its columns.
+
+    Rows are told apart by id and text hash, so rows that repeat both count as one. Null, empty and blank texts are one
+    component. The rows that go are joined against the documents; whether they are broadcast is left to Spark's measured sizes.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    row, key, th = "_simhash_row", "_simhash_id", "_simhash_text"
+    prints = staged(fingerprints(docs, id_col, text_col, with_hash=True), "simhash")
+    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    roots = components(links(nodes))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    member = prints.join(rooted, "fp").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    member = staged(member, "simhash-members")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text"))
+    first = member.groupBy("root").agg(F.min(order).alias("first"))
+    judged = member.join(first, "root").withColumn("stays", order == F.col("first"))
+    gone = judged.where(~F.col("stays")).select(F.col("doc_id").alias(key), F.col("text_hash").alias(th))
+    again = judged.where("stays and n > 1").select(F.col("doc_id").alias(key), F.col("text_hash").alias(th))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash == F.col(th))
+    left = docs.join(gone, same, "left_anti")
+    once = left.join(again, same, "left_semi").withColumn(row, F.col(id_col).cast("string")).groupBy(row, text_hash.alias(th)).agg(F.first(F.struct(*docs.columns)).alias("d")).select("d.*")
+    return left.join(again, same, "left_anti").unionByName(once) if again.limit(1).count() else left
