@@ -7,9 +7,10 @@ codeword of a word halfway between them lies within 4 of both. At most 4 differi
 leave two cases, which give the two kinds of composite keys:
 
 * some segment is equal: then one of the other two differs by 2 bits at most (equal segment, its index);
-* none is equal: then the differences are 1, 1 and 1 or 2 (the indices of all three segments).
+* none is equal: then each differs by 2 at most, and one of the third's three parts of 7 bits is equal (the indices of
+  the first two segments, that part).
 
-So every link shares a composite key of 33 bits or more, and what shares a key is verified by counting bits.
+So every link shares a composite key of 31 bits or more, and what shares a key is verified by counting bits.
 """
 
 from __future__ import annotations
@@ -120,9 +121,10 @@ class GolayKeys:
             r, c = np.nonzero(used[y])
             rows.append(r)
             out.append((kind << 40) | (seg[x][r] << 12) | idx[y][0][r, c])
-        r, i, j, k = np.nonzero(used[0][:, :, None, None] & used[1][:, None, :, None] & used[2][:, None, None, :])
-        rows.append(r)
-        out.append((6 << 40) | (idx[0][0][r, i] << 24) | (idx[1][0][r, j] << 12) | idx[2][0][r, k])
+        r, i, j = np.nonzero(used[0][:, :, None] & used[1][:, None, :])
+        for part in range(3):
+            rows.append(r)
+            out.append((6 + part << 40) | (idx[0][0][r, i] << 24) | (idx[1][0][r, j] << 12) | (seg[2] >> 7 * part & 127)[r])
         return np.concatenate(rows), np.concatenate(out)
 
 
