@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyfold.catalog import decisions as cd, operators as co
+from tallyfold.catalog import decisions as cd, ingest as ci, operators as co
 from tallyfold.catalog.registry import query
 from tallyfold.sources import bindings
 from tallyfold.streaming import drains, play as sp
@@ -29,11 +29,25 @@ def _(t):
     return sp.ingest(hands(t).select("id", "hand_id", "won_cents"), "hand_id")
 
 
+@query("r01_log_facts", "R1 S10 D4", uses="", sql="SELECT CAST(event_id AS VARCHAR) AS hand_id, CAST(user_id AS VARCHAR) AS tournament_id, (2000+event_id%900)::DOUBLE AS hero_stack_start FROM events WHERE event_id%41<>0")
+def _(t):
+    facts, _ = sp.ingest_logs(t.spark, ci.write_logs(t), "Hero")
+    return facts.select("hand_id", "tournament_id", "hero_stack_start")
+
+
+@query("r01_log_actions", "R1 S10 K7", uses="", ctes=ci.LINES, sql="SELECT CAST(event_id AS VARCHAR) AS hand_id, COUNT(*) AS n, SUM(amt) AS amount FROM la GROUP BY 1")
+def _(t):
+    logs = ci.write_logs(t)
+    t.blocks.select(F.concat("raw", F.lit("\n\n")).alias("value")).write.mode("append").text(logs)  # every record comes twice
+    _, actions = sp.ingest_logs(t.spark, logs, "Hero", per_batch=8)
+    return actions.groupBy(F.substring_index("record", ":", -1).alias("hand_id")).agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+
+
 @query("r02_drop_repeats", "R2", sql="SELECT user_id, COUNT(*) AS n FROM (SELECT DISTINCT user_id, event_id FROM events) GROUP BY 1")
 def _(t):
-    e = events(t).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"))
+    e = events(t).select("user_id", F.sha2(F.to_json(F.struct("event_id", "event_type", "value", "props")), 256).alias("content_sha256"), F.col("ts").cast("timestamp").alias("at"))
     twice = e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return drains.append(sp.drop_repeats(twice, "at", ["user_id", "event_id"]), "repeats").groupBy("user_id").agg(F.count("*").alias("n"))
+    return sp.drop_repeats(twice, "at", ["user_id", "content_sha256"]).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("r03_stream_entities", "R3 A44", uses="spots", ctes=co.ENTITY, sql="SELECT name, hands_seen, vpip_num, pfr_num, tbet_num, tbet_den, f3b_den, agg_num, agg_den FROM en")
@@ -51,7 +65,7 @@ def _(t):
 
 @query("r04_stream_settings", "R4", uses="requests", ctes=cd.CTXSQL, sql=f"SELECT request_id, {cd.CARRY.format(c='bb0')} AS bb, {cd.CARRY.format(c='ante0')} AS ante, {cd.CARRY.format(c='open0')} AS open_mult FROM sv")
 def _(t):
-    return drains.append(sp.session_settings(requests(t)), "settings").select("request_id", "bb", "ante", "open_mult")
+    return sp.session_settings(requests(t)).select("request_id", "bb", "ante", "open_mult")
 
 
 @query("r05_stream_counters", "R5 A43", uses="requests", ctes=cd.SCORE, sql="SELECT session_id, COUNT(*) AS requests, SUM(latency_us)::DOUBLE/COUNT(*) AS avg_latency_us, COUNT(*) FILTER (WHERE color_code='RED_FOLD') AS red FROM sc GROUP BY 1")
@@ -82,6 +96,6 @@ def _(t):
 
 @query("r09_play_sessions", "R9", uses="hands", ctes="""g AS (SELECT *, CASE WHEN lag(date_utc) OVER (PARTITION BY hero_id ORDER BY date_utc, id) IS NULL OR date_utc-lag(date_utc) OVER (PARTITION BY hero_id ORDER BY date_utc, id)>=INTERVAL 6 HOURS THEN 1 ELSE 0 END AS b FROM b_hands),
  s AS (SELECT *, SUM(b) OVER (PARTITION BY hero_id ORDER BY date_utc, id ROWS UNBOUNDED PRECEDING) AS sid FROM g), ss AS (SELECT hero_id, sid, MIN(date_utc) AS st, MAX(date_utc) AS en, COUNT(*) AS hands, COUNT(*) FILTER (WHERE hero_result='win') AS wins FROM s GROUP BY 1,2)""",
-       sql="SELECT hero_id, strftime(st,'%Y-%m-%d %H:%M:%S') AS started, hands, wins FROM ss WHERE en + INTERVAL 6 HOURS <= (SELECT MAX(date_utc) FROM b_hands) - INTERVAL 1 DAY")
+       sql="SELECT hero_id, strftime(st,'%Y-%m-%d %H:%M:%S') AS started, hands, wins FROM ss")
 def _(t):
-    return drains.append(sp.play_sessions(hands(t), "at"), "play-sessions")
+    return drains.final(sp.play_sessions(hands(t), "at"), "play-sessions")

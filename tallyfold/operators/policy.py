@@ -58,24 +58,31 @@ def matches(df: DataFrame, rule: Rule) -> Column:
 
 
 def load_rules(spark: SparkSession, path: str | None = None) -> list[Rule]:
-    """Rules from a JSON file in priority order, else the built-in fallback."""
+    """Rules in priority order from a JSON or YAML file, or from all files of a folder; without a path the built-in ones.
+
+    A file that cannot be read or parsed raises. Only where the YAML library is absent does a YAML file give the
+    fallback rules.
+    """
     if path is None:
-        rules = fv.RULES
-    else:
+        return sorted(fv.RULES, key=lambda r: r["priority"])
+    if path.endswith((".yaml", ".yml")):
         try:
-            text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).take(1))
-            rules = json.loads(text)["rules"]
-            rules = [
-                {
-                    "name": r["name"], "priority": int(r.get("priority", 99)), "stop": bool(r.get("stop", False)),
-                    "conditions": r.get("conditions", {}), "reason": r.get("reason", r["name"]),
-                    "actions": [(a["code"], a.get("channels", ["console"])) if isinstance(a, dict) else tuple(a) for a in r.get("actions", [])],
-                }
-                for r in rules
-            ]
-        except Exception:  # noqa: BLE001 - an unreadable file means the fallback set
-            rules = fv.FALLBACK_RULES
-    return sorted(rules, key=lambda r: r["priority"])
+            import yaml
+        except ImportError:
+            return sorted(fv.FALLBACK_RULES, key=lambda r: r["priority"])
+        parse = yaml.safe_load
+    else:
+        parse = json.loads
+    texts = [r.value for r in spark.read.text(path, wholetext=True).toLocalIterator()]  # rules are edited by hand
+    return sorted((_rule(r) for text in texts for r in parse(text)["rules"]), key=lambda r: r["priority"])
+
+
+def _rule(r: dict) -> Rule:
+    return {
+        "name": r["name"], "priority": int(r.get("priority", 99)), "stop": bool(r.get("stop", False)),
+        "conditions": r.get("conditions", {}), "reason": r.get("reason", r["name"]),
+        "actions": [(a["code"], a.get("channels", ["console"])) if isinstance(a, dict) else tuple(a) for a in r.get("actions", [])],
+    }
 
 
 def rules_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:

@@ -21,9 +21,9 @@ def tokenise(requests: DataFrame) -> DataFrame:
     raw = F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")
     head = F.upper(F.coalesce(F.try_element_at(raw, F.lit(1)), F.lit("")))
     d = requests.withColumns({"is_set": head == "SET", "is_review": head == "REVIEW", "_raw": raw})
-    d = d.withColumn("_t", F.when(F.col("is_review"), F.slice("_raw", 2, 50)).otherwise(F.col("_raw")))
+    d = d.withColumn("_t", F.when(F.col("is_review"), F.slice("_raw", 2, F.greatest(F.lit(0), F.size("_raw") - 1))).otherwise(F.col("_raw")))
     t = F.col("_t")
-    rest = F.when(F.size(t) > 5, F.slice(t, 6, 50)).otherwise(F.array().cast("array<string>"))
+    rest = F.when(F.size(t) > 5, F.slice(t, 6, F.greatest(F.lit(0), F.size(t) - 5))).otherwise(F.array().cast("array<string>"))
     d = d.withColumns({"_rest": rest}).withColumn("is_3bet_spot", (F.size("_rest") > 0) & F.coalesce(F.upper(F.try_element_at("_rest", F.lit(-1))) == "3BET", F.lit(False)))
     d = d.withColumns({
         "board": F.when(F.col("is_3bet_spot"), F.slice("_rest", 1, F.size("_rest") - 1)).otherwise(F.col("_rest")),

@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = os.environ.get("TALLYFOLD_SCRATCH")
     if not path:
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -183,7 +183,9 @@ HEAVY = {"b_spots", "b_blocks", "b_requests", "documents"}
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core where a scan has fewer splits than cores; a large scan is left as it is."""
+    """On a local master, use every core where a scan has fewer splits than cores; on a cluster a scan is left as it is."""
+    if not df.sparkSession.sparkContext.master.startswith("local["):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

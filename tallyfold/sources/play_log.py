@@ -128,49 +128,60 @@ def parse_records(blocks: DataFrame, hero: str) -> DataFrame:
     return d.drop(*scratch)
 
 
-def log_lines(blocks: DataFrame, key: str) -> DataFrame:
-    """Numbered non-empty lines of each block."""
-    d = blocks.select(key, "site", F.posexplode(F.split("raw", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
-    return d.where("line <> ''")
+def record_key() -> Column:
+    """Site and number of a record of either dialect."""
+    return F.concat_ws(":", "site", F.regexp_extract("raw", r"(?:Game Hand|PokerStars Hand|PokerStars) #(\d+)", 1))
 
 
-def block_actions(blocks: DataFrame, key: str) -> DataFrame:
-    """Action rows of every actor with street, order and the pot before the action.
+ACTION = "array<struct<street:string,actor_id:string,action_type:string,amount:double,pot_size_before:double,is_all_in:boolean>>"
 
-    Streets carry forward from the last marker; the running pot adds antes, blinds and earlier
-    calls, bets and raises. A block is one hand, so these windows stay small.
+
+def block_actions(blocks: DataFrame, *keep: str) -> DataFrame:
+    """Action rows of every actor with street, order and the pot before the action, beside the kept columns.
+
+    Streets carry forward from the last marker; the running pot adds antes, blinds and earlier calls, bets and raises.
+    A record is one row, so all of it is array work inside that row: nothing is shuffled and records never mix.
     """
-    f = F.col
-    up = F.upper("line")
     verb_acr = r"(?i)^([^:]+?)(?::)?\s+(folds|checks|calls|bets|raises)(?:\s+\$?([\d.,]+))?(?:\s+to\s+\$?([\d.,]+))?"
     verb_ps = r"(?i)^([^:]+):\s+(desiste|passa|iguala|aposta|aumenta)(?:\s+\$?([\d.,]+))?(?:\s+para\s+\$?([\d.,]+))?"
     post_acr = r"(?i)^(?:\S+)\s+posts\s+(?:ante|the\s+(?:small|big)\s+blind)\s+\$?([\d.,]+)"
     post_ps = r"(?i)^(?:\S+):\s+(?:coloca\s+ante|paga\s+o\s+(?:small blind|big blind))\s+\$?([\d.,]+)"
-    acr = f("site") == "acr"
-
-    def grp(i: int) -> Column:
-        return F.when(acr, F.regexp_extract("line", verb_acr, i)).otherwise(F.regexp_extract("line", verb_ps, i))
-
-    w = Window.partitionBy(key).orderBy("line_no")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = log_lines(blocks, key).withColumns({
-        "marker": F.when(up.contains("*** FLOP ***"), "FLOP").when(up.contains("*** TURN ***"), "TURN").when(up.contains("*** RIVER ***"), "RIVER"),
-        "stop": (up.contains("*** SUMMARY ***") | up.contains("*** RESUMO ***")).cast("int"),
-        "posted": amount(F.when(acr, F.regexp_extract("line", post_acr, 1)).otherwise(F.regexp_extract("line", post_ps, 1))),
-        "actor": F.trim(grp(1)), "verb": F.lower(grp(2)), "a1": grp(3), "a2": grp(4),
-    })
-    d = d.withColumns({"street": F.coalesce(F.last("marker", ignorenulls=True).over(upto), F.lit("PREFLOP")), "stopped": F.max("stop").over(upto)}).where("stopped = 0 AND marker IS NULL")
-    is_act = (f("verb") != "") & (f("posted") == 0)
-    d = d.withColumns({
-        "action_type": F.when(is_act, lookup(f("verb"), fv.VERBS, "")), "amount": F.when(is_act, amount(F.when(f("a2") != "", f("a2")).otherwise(f("a1")))).otherwise(0.0),
-    })
-    adds = f("posted") + F.when(f("action_type").isin("CALL", "BET", "RAISE"), f("amount")).otherwise(0.0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("pot_size_before", F.coalesce(F.sum(adds).over(before), F.lit(0.0))).where("action_type IS NOT NULL")
-    return d.select(
-        key, F.row_number().over(w).alias("action_order"), "street", f("actor").alias("actor_id"), "action_type", "amount", "pot_size_before",
-        (F.lower("line").contains("all-in") | F.lower("line").contains("all in")).alias("is_all_in"),
-    )
+    acr = F.col("site") == "acr"
+
+    def read(x: Column) -> Column:
+        grp = lambda i: F.when(acr, F.regexp_extract(x, verb_acr, i)).otherwise(F.regexp_extract(x, verb_ps, i))
+        up, low = F.upper(x), F.lower(x)
+        return F.struct(
+            F.when(up.contains("*** FLOP ***"), "FLOP").when(up.contains("*** TURN ***"), "TURN").when(up.contains("*** RIVER ***"), "RIVER").alias("marker"),
+            (up.contains("*** SUMMARY ***") | up.contains("*** RESUMO ***")).alias("stop"),
+            amount(F.when(acr, F.regexp_extract(x, post_acr, 1)).otherwise(F.regexp_extract(x, post_ps, 1))).alias("posted"),
+            F.trim(grp(1)).alias("actor"), F.lower(grp(2)).alias("verb"), grp(3).alias("a1"), grp(4).alias("a2"),
+            (low.contains("all-in") | low.contains("all in")).alias("all_in"),
+        )
+
+    def classed(x: Column) -> Column:
+        is_act = (x["verb"] != "") & (x["posted"] == 0)
+        return F.struct(
+            x["marker"].alias("marker"), x["stop"].alias("stop"), x["posted"].alias("posted"), x["actor"].alias("actor"), x["all_in"].alias("all_in"),
+            F.when(is_act, lookup(x["verb"], fv.VERBS, "")).alias("type"), F.when(is_act, amount(F.when(x["a2"] != "", x["a2"]).otherwise(x["a1"]))).otherwise(0.0).alias("amount"),
+        )
+
+    def step(s: Column, x: Column) -> Column:
+        live = ~x["stop"] & ~s["stopped"] & x["marker"].isNull()
+        adds = x["posted"] + F.when(x["type"].isin("CALL", "BET", "RAISE"), x["amount"]).otherwise(0.0)
+        act = F.struct(
+            s["street"].alias("street"), x["actor"].alias("actor_id"), x["type"].alias("action_type"), x["amount"].alias("amount"), s["pot"].alias("pot_size_before"), x["all_in"].alias("is_all_in")
+        )
+        return F.struct(
+            F.coalesce(x["marker"], s["street"]).alias("street"), (s["stopped"] | x["stop"]).alias("stopped"), (s["pot"] + F.when(live, adds).otherwise(0.0)).alias("pot"),
+            F.when(live & x["type"].isNotNull(), F.concat(s["acts"], F.array(act))).otherwise(s["acts"]).alias("acts"),
+        )
+
+    lines = F.filter(F.transform(F.split("raw", "\n"), F.trim), lambda x: x != "")
+    start = F.struct(F.lit("PREFLOP").alias("street"), F.lit(False).alias("stopped"), F.lit(0.0).alias("pot"), F.array().cast(ACTION).alias("acts"))
+    acts = F.aggregate(F.transform(F.transform(lines, read), classed), start, step, lambda s: s["acts"])
+    d = blocks.select(*keep, F.posexplode(acts).alias("_at", "_act"))
+    return d.select(*keep, (F.col("_at") + 1).alias("action_order"), "_act.*")
 
 
 def actions_from_text(hands: DataFrame, key: str = "id") -> DataFrame:

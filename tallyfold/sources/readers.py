@@ -31,15 +31,24 @@ def text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
     return r.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"))
 
 
-def record_blocks(spark: SparkSession, path: str, header: str = "Game Hand #", pattern: str = "*.txt") -> DataFrame:
+ACR_HEADER = "Game Hand #"
+
+
+def with_header(pieces: DataFrame, header: str, *more: str) -> DataFrame:
+    """Put back the header that the text source cut records at; what stands before a file's first header is no record."""
+    d = pieces.select(F.trim("value").alias("v"), *more)
+    return d.where(F.col("v").rlike(r"^\d")).select(F.concat(F.lit(header), "v").alias("value"), *more)
+
+
+def record_blocks(spark: SparkSession, path: str, header: str = ACR_HEADER, pattern: str = "*.txt") -> DataFrame:
     """Log records cut at their header by the text source itself.
 
     The header is the record separator, so a large log file is read in parallel splits and
     never becomes one row. The dialect without its own header needs a second call.
     """
     r = spark.read.text(path, lineSep=header, recursiveFileLookup=True, pathGlobFilter=pattern)
-    d = r.select(F.trim("value").alias("v"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"))
-    return d.where("v <> ''").select(F.concat(F.lit(header), "v").alias("value"), "file_path", "file_name")
+    d = r.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"))
+    return with_header(d, header, "file_path", "file_name")
 
 
 def play_rows(spark: SparkSession, source: str) -> DataFrame:

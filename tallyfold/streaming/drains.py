@@ -10,9 +10,10 @@ from tallyfold.operators.dedupe import top_per_key
 from tallyfold.session import scratch_path
 
 
-def files(spark: SparkSession, path: str, schema: T.StructType, per_batch: int = 1) -> DataFrame:
-    """A growing folder of Parquet files as a stream, a few files per batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+def files(spark: SparkSession, path: str, schema: T.StructType, per_batch: int | None = None) -> DataFrame:
+    """A growing folder of Parquet files as a stream; ``per_batch`` limits the files of a batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(path)
 
 
 def append(stream: DataFrame, label: str, base: str | None = None) -> DataFrame:
@@ -47,3 +48,14 @@ def updates(stream: DataFrame, label: str, keys: Sequence[str | Column], base: s
     base = batches(stream, label, step, "update", base)
     rows = stream.sparkSession.read.parquet(f"{base}/out")
     return top_per_key(rows, list(keys), [F.col("batch").desc()]).drop("batch")
+
+
+def final(stream: DataFrame, label: str, base: str | None = None) -> DataFrame:
+    """Drain an aggregate in complete mode and return its last state, so rows in any order of arrival count."""
+
+    def step(df: DataFrame, i: int, b: str) -> None:
+        df.write.mode("overwrite").parquet(f"{b}/out/batch={i}")
+
+    base = batches(stream, label, step, "complete", base)
+    rows = stream.sparkSession.read.parquet(f"{base}/out")
+    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")

@@ -205,3 +205,15 @@ def test_align_fills_and_casts(spark):
     d = spark.createDataFrame([("x", None), ("3", 2.5)], "a string, b double")
     r = readers.align(d, {"a": ("int", 0), "b": ("double", 1.0), "c": ("string", "none")}).collect()
     assert [tuple(x) for x in r] == [(0, 1.0, "none"), (3, 2.5, "none")]
+
+
+def test_records_never_mix(spark):
+    """A record that comes twice, and two records of the second dialect, each keep their own order and pot."""
+    ps = "Mão PokerStars #{n}: T\nAna: coloca ante 10\nAna: aposta 5"
+    values = [(LOG,), (LOG,), (ps.format(n=1),), (ps.format(n=2),)]
+    b = pl.split_blocks(spark.createDataFrame(values, "value string").repartition(1)).withColumn("record", pl.record_key())
+    acts = pl.block_actions(b, "record")
+    a = acts.collect()
+    assert sorted((x["record"], x["action_order"]) for x in a) == sorted([("acr:9001", i) for i in range(1, 7)] * 2 + [("ps:1", 1), ("ps:2", 1)])
+    assert {x["pot_size_before"] for x in a if x["record"].startswith("ps")} == {10.0}
+    assert "Exchange" not in acts._jdf.queryExecution().optimizedPlan().toString() and "Window" not in acts._jdf.queryExecution().optimizedPlan().toString()

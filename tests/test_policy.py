@@ -62,7 +62,29 @@ def test_rule_file_and_fallback(spark, tmp_path):
     p = tmp_path / "rules.json"
     p.write_text(json.dumps({"rules": [{"name": "b", "priority": 2, "actions": [{"code": "X"}]}, {"name": "a", "priority": 1, "conditions": {"mrr": {"gt": 1}}, "actions": [{"code": "Y", "channels": ["file"]}]}]}))
     assert [r["name"] for r in policy.load_rules(spark, str(p))] == ["a", "b"]
-    assert [r["name"] for r in policy.load_rules(spark, str(tmp_path / "none.json"))] == [r["name"] for r in fv.FALLBACK_RULES]
+    (tmp_path / "more").mkdir()
+    for n in "cd":  # a folder is read whole
+        (tmp_path / "more" / f"{n}.json").write_text(json.dumps({"rules": [{"name": n}]}))
+    assert sorted(r["name"] for r in policy.load_rules(spark, str(tmp_path / "more"))) == ["c", "d"]
+
+
+@pytest.mark.parametrize("text", [None, "{", '{"rules": [{"priority": 1}]}'])
+def test_a_bad_rule_file_raises(spark, tmp_path, text):
+    if text:
+        (tmp_path / "r.json").write_text(text)
+    with pytest.raises(Exception):
+        policy.load_rules(spark, str(tmp_path / "r.json"))
+
+
+def test_yaml_rules(spark, tmp_path):
+    (tmp_path / "r.yaml").write_text("rules:\n- name: b\n  priority: 2\n- name: a\n  priority: 1\n  conditions: {mrr: {gt: 1}}\n  actions:\n  - {code: X, channels: [file]}\n")
+    got = policy.load_rules(spark, str(tmp_path / "r.yaml"))
+    try:
+        import yaml  # noqa: F401
+    except ImportError:
+        assert [r["name"] for r in got] == [r["name"] for r in fv.FALLBACK_RULES]
+    else:
+        assert [(r["name"], r["actions"]) for r in got] == [("a", [("X", ["file"])]), ("b", [])]
 
 
 @pytest.mark.parametrize("risk,up,want", [
