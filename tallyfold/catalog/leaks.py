@@ -6,6 +6,7 @@ from tallyfold.catalog import leaks_sql as q
 from tallyfold.catalog.registry import query
 from tallyfold.functions import fixed_values as fv, play
 from tallyfold.plans import leaks as lk
+from tallyfold.session import written
 
 NETWORKS = {"ALPHA": "NET_A", "BETA": "NET_B"}
 
@@ -24,10 +25,15 @@ def prepared(t, keep=()):
     return lk.prepare(spots, lk.cluster_by_rule(lk.opponent_rates(spots)), keep)
 
 
+def detections(t):
+    """All detections, a few hundred rows, written once for everything that reads them."""
+    return written(lk.detect(prepared(t)), "detections")
+
+
 def chain(t):
-    det = lk.detect(prepared(t))
-    ctx = lk.contexts(det, NETWORKS)
-    sev = lk.severity(ctx)
+    det = detections(t)
+    ctx = written(lk.contexts(det, NETWORKS), "contexts")
+    sev = written(lk.severity(ctx), "severity")
     return det, ctx, sev, lk.study_plan(sev, det)
 
 
@@ -65,9 +71,11 @@ DET_NUM = ["metric", "benchmark", "deviation_pct", "confidence", "error_severity
 
 def _det(codes=None):
     def run(t):
-        d = lk.detect(prepared(t))
         if codes:
-            d = d.where(F.col("leak_code").isin(*codes))
+            rules = [r for r in lk.RULES if r[2] in codes]
+            d = lk.detect(prepared(t), rules=rules, sizing="OVERBETTING" in codes, tilt="TILT_PATTERN" in codes)
+        else:
+            d = lk.ordered(lk.detect(prepared(t)))
         return d.select(*DET_COLS, *r6(*DET_NUM), F.size("evidence").alias("evidence_n"))
 
     return run
@@ -82,6 +90,7 @@ FAMILIES = {
     "l05_reraise": ("L5", ["THREE_BET_WRONG", "FOLD_VS_3BET_HIGH", "FOUR_BET_WRONG"]),
     "l06_postflop": ("L6", ["C_BET_WEAK", "BLUFF_BAD", "OVERPLAY_MEDIUM", "VALUE_BET_LOST"]),
     "l07_sizing": ("L7 A16", ["OVERBETTING"]),
+    "l08_tilt": ("L8", ["TILT_PATTERN"]),
     "l09_pressure": ("L9 M4", ["ICM_PASSIVITY", "ICM_SUICIDE"]),
     "l10_timing": ("L10 A16", ["TIMING_IMPULSIVE", "TIMING_TELEGRAPH"]),
 }
@@ -95,7 +104,7 @@ CTX_NUM = ["confidence", "total_ev_lost", "avg_loss_per_hand", "ev_expected", "e
 
 @query("a17_contexts", "A17 D7 J9 P22 C2", uses="spots", ctes=f"{q.DETECT},\n{q.CTX}", sql=f"SELECT {q.CTX_KEYS}, frequency, sample_size, {s6(*CTX_NUM)}, confidence_reason FROM ctx")
 def _(t):
-    return lk.contexts(lk.detect(prepared(t)), NETWORKS).select(*lk.CONTEXT_KEYS, "frequency", "sample_size", *r6(*CTX_NUM), "confidence_reason")
+    return lk.contexts(detections(t), NETWORKS).select(*lk.CONTEXT_KEYS, "frequency", "sample_size", *r6(*CTX_NUM), "confidence_reason")
 
 
 SEV_NUM = ["frequency_score", "impact_score", "recurrence_score", "context_importance", "distance_from_optimal", "cascade_score", "severity_score", "potential_roi_gain", "bayesian_bb100"]
@@ -103,12 +112,12 @@ SEV_NUM = ["frequency_score", "impact_score", "recurrence_score", "context_impor
 
 @query("m12_severity", "M11 M12 A54 A16 D8 M34", uses="spots", ctes=f"{q.DETECT},\n{q.CTX},\n{q.SEV}", sql=f"SELECT {q.CTX_KEYS}, severity_label, distinct_context_values, {s6(*SEV_NUM)} FROM sev")
 def _(t):
-    return lk.severity(lk.contexts(lk.detect(prepared(t)), NETWORKS)).select(*lk.CONTEXT_KEYS, "severity_label", "distinct_context_values", *r6(*SEV_NUM))
+    return lk.severity(lk.contexts(detections(t), NETWORKS)).select(*lk.CONTEXT_KEYS, "severity_label", "distinct_context_values", *r6(*SEV_NUM))
 
 
 @query("w03_severity_rank", "W3", uses="spots", ctes=f"{q.DETECT},\n{q.CTX},\n{q.SEV}", sql=f"SELECT {q.CTX_KEYS}, priority_rank FROM sev")
 def _(t):
-    return lk.severity(lk.contexts(lk.detect(prepared(t)), NETWORKS)).select(*lk.CONTEXT_KEYS, "priority_rank")
+    return lk.severity(lk.contexts(detections(t), NETWORKS)).select(*lk.CONTEXT_KEYS, "priority_rank")
 
 
 PROFILES = """, pr(h, net, roi, itm, early) AS (VALUES ('ALPHA','NET_A',-88.0::DOUBLE,6.0::DOUBLE,1.0::DOUBLE), ('BETA','NET_B',-91.0::DOUBLE,14.0::DOUBLE,0.0::DOUBLE)),
@@ -122,7 +131,7 @@ PROFILES = """, pr(h, net, roi, itm, early) AS (VALUES ('ALPHA','NET_A',-88.0::D
 @query("m13_slump_boost", "M13", uses="spots", ctes=f"{q.DETECT},\n{q.CTX},\n{q.SEV}{PROFILES}", sql=f"""SELECT {q.CTX_KEYS}, ROUND(CASE WHEN sample_size<12 OR confidence<0.45 THEN LEAST(boosted,59.0::DOUBLE) ELSE boosted END+1e-9::DOUBLE,6) AS severity_score FROM sb""")
 def _(t):
     prof = t.spark.createDataFrame([("Alpha", "NET_A", -88.0, 6.0, 1.0), ("Beta", "NET_B", -91.0, 14.0, 0.0)], "hero_name string, network string, roi double, itm double, early_finish_rate double")
-    return lk.severity(lk.contexts(lk.detect(prepared(t)), NETWORKS), prof).select(*lk.CONTEXT_KEYS, *r6("severity_score"))
+    return lk.severity(lk.contexts(detections(t), NETWORKS), prof).select(*lk.CONTEXT_KEYS, *r6("severity_score"))
 
 
 @query("m14_study_plan", "M14 W4 P14 D9", uses="spots", ctes=q.FULL, sql=f"""SELECT {q.CTX_KEYS}, severity_label, priority, estimated_hours, ROUND(evs_score+1e-9::DOUBLE,6) AS evs_score, ROUND(potential_roi_gain+1e-9::DOUBLE,6) AS expected_roi_gain, position || ' vs field ' || stack_depth_bucket AS spot FROM plan""")
@@ -135,7 +144,7 @@ SELECT leak_code, array_to_string(list(hand_id ORDER BY rn), ',') AS hand_ids FR
  SELECT leak_code, hand_id, b.b0 AS b0, b.b1 AS b1, b.b2 AS b2 FROM (SELECT leak_code, hand_id, first(struct_pack(b0:=error_severity, b1:=confidence, b2:=coalesce(ABS(ev_delta),0)) ORDER BY error_severity DESC, confidence DESC, coalesce(ABS(ev_delta),0) DESC) AS b FROM det GROUP BY 1,2)))
 WHERE rn<=5 GROUP BY 1""")
 def _(t):
-    return lk.representative_hands(lk.detect(prepared(t))).select("leak_code", F.array_join(F.transform("representative_hand_ids", lambda x: x.cast("string")), ",").alias("hand_ids"))
+    return lk.representative_hands(detections(t)).select("leak_code", F.array_join(F.transform("representative_hand_ids", lambda x: x.cast("string")), ",").alias("hand_ids"))
 
 
 @query("a18_breakdown", "A18", uses="spots", ctes=f"{q.DETECT},\n{q.CTX}", sql=" UNION ALL ".join(
@@ -143,12 +152,12 @@ def _(t):
     f"ROUND(SUM(confidence*sample_size)/SUM(sample_size)+1e-9::DOUBLE,6) AS avg_confidence, ROUND(SUM(avg_loss_per_hand*sample_size)/SUM(sample_size)+1e-9::DOUBLE,6) AS avg_loss_per_hand FROM ctx GROUP BY {col}"
     for col, name in {"position": "position", "stack_depth_bucket": "stack", "phase": "phase", "opponent_type": "opponent"}.items()))
 def _(t):
-    return lk.breakdown(lk.contexts(lk.detect(prepared(t)), NETWORKS)).select("dimension", "value", "count", *r6("total_ev_lost"), "sample_size", *r6("avg_confidence", "avg_loss_per_hand"))
+    return lk.breakdown(lk.contexts(detections(t), NETWORKS)).select("dimension", "value", "count", *r6("total_ev_lost"), "sample_size", *r6("avg_confidence", "avg_loss_per_hand"))
 
 
 @query("a19_severity_counts", "A19", uses="spots", ctes=f"{q.DETECT},\n{q.CTX},\n{q.SEV}", sql="""SELECT l AS severity_label, COUNT(severity_label) AS n FROM (VALUES ('CRÍTICO'),('ALTO'),('MÉDIO'),('BAIXO')) v(l) LEFT JOIN sev ON sev.severity_label=v.l GROUP BY 1""")
 def _(t):
-    return lk.severity_counts(lk.severity(lk.contexts(lk.detect(prepared(t)), NETWORKS)))
+    return lk.severity_counts(lk.severity(lk.contexts(detections(t), NETWORKS)))
 
 
 @query("a20_report_metrics", "A20", uses="spots", ctes=q.FULL, sql="""
@@ -165,7 +174,7 @@ def _(t):
 
 @query("t02_costly_spots", "T2", uses="spots", ctes=f"{q.DETECT},\n{q.CTX}", sql=f"SELECT {q.CTX_KEYS}, ROUND(total_ev_lost+1e-9::DOUBLE,6) AS total_ev_lost FROM ctx ORDER BY ctx.total_ev_lost DESC, {q.CTX_KEYS} LIMIT 10")
 def _(t):
-    return lk.costly_spots(lk.contexts(lk.detect(prepared(t)), NETWORKS)).select(*lk.CONTEXT_KEYS, *r6("total_ev_lost"))
+    return lk.costly_spots(lk.contexts(detections(t), NETWORKS)).select(*lk.CONTEXT_KEYS, *r6("total_ev_lost"))
 
 
 @query("t07_ranked_slices", "T7 B9", uses="spots", ctes=q.FULL, sql="""
@@ -182,7 +191,7 @@ def _(t):
 SELECT 'position' AS by_what, 'BTN' AS value, COUNT(*) AS leaks, ROUND(SUM(potential_roi_gain),4) AS total_cost FROM sev WHERE position='BTN'
 UNION ALL SELECT 'stack', 'LOW', COUNT(*), ROUND(SUM(potential_roi_gain),4) FROM sev WHERE upper(stack_bucket)='LOW'""")
 def _(t):
-    sev = lk.severity(lk.contexts(lk.detect(prepared(t)), NETWORKS))
+    sev = lk.severity(lk.contexts(detections(t), NETWORKS))
     total = [F.count("*").alias("leaks"), F.round(F.sum("potential_roi_gain"), 4).alias("total_cost")]
     a = sev.where("position = 'BTN'").agg(*total).select(F.lit("position").alias("by_what"), F.lit("BTN").alias("value"), "leaks", "total_cost")
     b = sev.where("upper(stack_bucket) = 'LOW'").agg(*total).select(F.lit("stack").alias("by_what"), F.lit("LOW").alias("value"), "leaks", "total_cost")
@@ -194,7 +203,7 @@ def _(t):
   struct_pack(v:=-(context_importance*0.16::DOUBLE), i:=3, k:='context_stack_phase'), struct_pack(v:=-(ease*100*0.12::DOUBLE), i:=4, k:='ease_of_fix'), struct_pack(v:=-(distance_from_optimal*100*0.08::DOUBLE), i:=5, k:='distance_from_optimal'),
   struct_pack(v:=-(cascade_score*0.04::DOUBLE), i:=6, k:='cascade_effect'), struct_pack(v:=-(LEAST(100.0::DOUBLE,vop*100)*0.05::DOUBLE), i:=7, k:='vop_deviation')])[1:3], lambda e: e.k), ', ') AS top_names FROM sev""")
 def _(t):
-    sev = lk.severity(lk.contexts(lk.detect(prepared(t)), NETWORKS))
+    sev = lk.severity(lk.contexts(detections(t), NETWORKS))
     return sev.select(*lk.CONTEXT_KEYS, F.round(F.col("components")["impact_ev"], 3).alias("impact_ev"), F.round(F.col("components")["ease_of_fix"], 3).alias("ease_of_fix"), F.regexp_replace("why_i_lost", "=[0-9.]+", "").alias("top_names"))
 
 

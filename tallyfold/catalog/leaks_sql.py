@@ -176,7 +176,19 @@ SIZING = f"""sz AS (SELECT AVG(CASE WHEN bet_size > (SELECT quantile_cont(bet_si
  AVG(went_to_showdown) FILTER (WHERE bet_size IS NOT NULL) AS showdown_rate, first({REP} ORDER BY amount_bb, id) FILTER (WHERE bet_size IS NOT NULL) AS rep,
  'UNKNOWN' AS m_stack_depth_bucket, 'UNKNOWN' AS stack_bucket, 'unknown' AS m_opponent_type, 'UNKNOWN' AS m_board_texture, 'UNKNOWN' AS m_line_type, 'UNKNOWN' AS position, 'UNKNOWN' AS phase FROM prep)"""
 ALL_RULES = group_rules("g3", "g4", "g5") + [rule("sz", "ratio>0.10", "OVERBETTING", "ratio", "0.05", 0.45, 15, 1)]
-DETECT = f"{PREP},\n{G3},\n{G4},\n{G5},\n{SIZING},\nraw AS ({' UNION ALL '.join(ALL_RULES)}),\n{scored('raw', 'det')}"
+POS = """ps AS (SELECT hero_id, id, date_utc, won_cents/GREATEST(big_blind,1) AS amt, hero_vpip AS vpip, {q}, ROW_NUMBER() OVER (PARTITION BY {k} ORDER BY date_utc, id) AS pos, COUNT(*) OVER (PARTITION BY {k}) AS n,
+  SUM(CASE WHEN won_cents<0 THEN 0 ELSE 1 END) OVER (PARTITION BY {k} ORDER BY date_utc, id ROWS UNBOUNDED PRECEDING) AS wins FROM {src}),
+ stk AS (SELECT k, n, MIN(pos) AS start_pos, MAX(pos) AS end_pos, COUNT(*) AS streak_len, arg_min(id,pos) AS first_id FROM ps WHERE amt<0 GROUP BY k, n, wins HAVING COUNT(*)>=3)"""
+TILT = """, aft AS (SELECT s.*, (SELECT AVG(vpip) FROM ps p WHERE p.k=s.k AND p.pos BETWEEN s.end_pos+1 AND s.end_pos+6) AS nv, (SELECT AVG(amt) FROM ps p WHERE p.k=s.k AND p.pos BETWEEN s.end_pos+1 AND s.end_pos+6) AS na FROM stk s WHERE n>=30),
+ bas AS (SELECT k, AVG(vpip) AS bv, AVG(amt) AS ba FROM ps WHERE pos<=GREATEST(20,LEAST(80,n//2)) GROUP BY 1), tot AS (SELECT k, SUM(amt) AS ev_real FROM ps GROUP BY 1),
+ sc AS (SELECT aft.*, nv-bv AS dv, ba-na AS de, GREATEST(0,nv-bv)*100.0::DOUBLE+GREATEST(0,ba-na)*15.0::DOUBLE+streak_len*6.0::DOUBLE AS score FROM aft JOIN bas USING (k)),
+ tl AS (SELECT k, COUNT(*) AS streaks, MAX(streak_len) AS max_streak, coalesce(AVG(dv),0) AS vd, coalesce(AVG(de),0) AS ed, MAX(n) AS sample_size, MAX(score) FILTER (WHERE nv IS NOT NULL) AS ws, first(first_id ORDER BY score DESC, start_pos) FILTER (WHERE nv IS NOT NULL) AS hand_id FROM sc GROUP BY 1)"""
+TILT_ROW = f"""tilt_row AS (SELECT position, phase, 'TILT_PATTERN' AS leak_code, sample_size, ev_real, rep, 'UNKNOWN' AS stack_depth_bucket, 'UNKNOWN' AS stack_bucket, opponent_type, 'Passive' AS opponent_cluster, board_texture, line_type,
+ LEAST(100.0::DOUBLE, GREATEST(0.0::DOUBLE,vd)*100.0) AS deviation_pct, LEAST(0.95::DOUBLE,0.45::DOUBLE+streaks/20.0+LEAST(0.25::DOUBLE,vd)) AS confidence,
+ LEAST(1.0::DOUBLE,0.55::DOUBLE+LEAST(0.25::DOUBLE,max_streak/10.0)+LEAST(0.2::DOUBLE,GREATEST(0.0::DOUBLE,vd))) AS error_severity, hand_id, hero_name, 'loss_streak + vpip_shift' AS confidence_reason, 4 AS evidence_n
+ FROM tl JOIN tot USING (k) JOIN (SELECT id AS rid, {REP} AS rep, position, phase, opponent_type, board_texture, line_type, hero_name FROM prep) r ON r.rid = tl.hand_id WHERE ws>0 AND NOT (vd<0.08 AND max_streak<4))"""
+SCORED = f"{PREP},\n{G3},\n{G4},\n{G5},\n{SIZING},\nraw AS ({' UNION ALL '.join(ALL_RULES)}),\n{scored('raw', 'det_s')}"
+DETECT = f"{SCORED},\n{POS.format(k='1', q='1 AS k', src='b_spots')}{TILT},\n{TILT_ROW},\ndet AS (SELECT * FROM det_s UNION ALL BY NAME SELECT * FROM tilt_row)"
 
 CATEGORY = case("leak_code", {k: v[0] for k, v in fv.LEAK_CODES.items()}, "NONE")
 CTX_KEYS = "leak_code, hero_name, network, position, stack_bucket, stack_depth_bucket, opponent_type, opponent_cluster, phase, board_texture, street, line_type"

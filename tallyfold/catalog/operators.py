@@ -177,13 +177,7 @@ def _(t):
 
 # ---- windows ----
 
-POS = """ps AS (SELECT hero_id, id, date_utc, won_cents/GREATEST(big_blind,1) AS amt, hero_vpip AS vpip, {q}, ROW_NUMBER() OVER (PARTITION BY {k} ORDER BY date_utc, id) AS pos, COUNT(*) OVER (PARTITION BY {k}) AS n,
-  SUM(CASE WHEN won_cents<0 THEN 0 ELSE 1 END) OVER (PARTITION BY {k} ORDER BY date_utc, id ROWS UNBOUNDED PRECEDING) AS wins FROM b_hands),
- stk AS (SELECT k, n, MIN(pos) AS start_pos, MAX(pos) AS end_pos, COUNT(*) AS streak_len, arg_min(id,pos) AS first_id FROM ps WHERE amt<0 GROUP BY k, n, wins HAVING COUNT(*)>=3)"""
-TILT = """, aft AS (SELECT s.*, (SELECT AVG(vpip) FROM ps p WHERE p.k=s.k AND p.pos BETWEEN s.end_pos+1 AND s.end_pos+6) AS nv, (SELECT AVG(amt) FROM ps p WHERE p.k=s.k AND p.pos BETWEEN s.end_pos+1 AND s.end_pos+6) AS na FROM stk s WHERE n>=30),
- bas AS (SELECT k, AVG(vpip) AS bv, AVG(amt) AS ba FROM ps WHERE pos<=GREATEST(20,LEAST(80,n//2)) GROUP BY 1), tot AS (SELECT k, SUM(amt) AS ev_real FROM ps GROUP BY 1),
- sc AS (SELECT aft.*, nv-bv AS dv, ba-na AS de, GREATEST(0,nv-bv)*100.0::DOUBLE+GREATEST(0,ba-na)*15.0::DOUBLE+streak_len*6.0::DOUBLE AS score FROM aft JOIN bas USING (k)),
- tl AS (SELECT k, COUNT(*) AS streaks, MAX(streak_len) AS max_streak, coalesce(AVG(dv),0) AS vd, coalesce(AVG(de),0) AS ed, MAX(n) AS sample_size, MAX(score) FILTER (WHERE nv IS NOT NULL) AS ws, first(first_id ORDER BY score DESC, start_pos) FILTER (WHERE nv IS NOT NULL) AS hand_id FROM sc GROUP BY 1)"""
+POS, TILT = q.POS, q.TILT
 TILT_OUT = """streaks, max_streak, ROUND(vd,6) AS vpip_delta, ROUND(ed,3) AS ev_delta, sample_size, hand_id, ROUND(LEAST(0.95::DOUBLE,0.45::DOUBLE+streaks/20.0+LEAST(0.25::DOUBLE,vd)),6) AS confidence,
  ROUND(LEAST(1.0::DOUBLE,0.55::DOUBLE+LEAST(0.25::DOUBLE,max_streak/10.0)+LEAST(0.2::DOUBLE,GREATEST(0,vd))),6) AS error_severity, ROUND(ev_real,4) AS ev_real FROM tl JOIN tot USING (k) WHERE ws>0 AND NOT (vd<0.08 AND max_streak<4)"""
 
@@ -197,32 +191,32 @@ def tilt_cols(d, *keys):
                     F.round("error_severity", 6).alias("error_severity"), F.round("ev_real", 4).alias("ev_real"))
 
 
-@query("w08_loss_streaks", "W8", uses="hands", ctes=POS.format(k="hero_id", q="hero_id AS k"), sql="SELECT k AS hero_id, start_pos, end_pos, streak_len, first_id FROM stk")
+@query("w08_loss_streaks", "W8", uses="hands", ctes=POS.format(k="hero_id", q="hero_id AS k", src="b_hands"), sql="SELECT k AS hero_id, start_pos, end_pos, streak_len, first_id FROM stk")
 def _(t):
     pos = streaks.positioned(timed(t), ["hero_id"], F.col("amount_bb") < 0)
     return streaks.loss_streaks(pos, ["hero_id"]).select("hero_id", "start_pos", "end_pos", "streak_len", "first_id")
 
 
-@query("w09_baselines", "W9", uses="hands", ctes=POS.format(k="hero_id", q="hero_id AS k"), sql="SELECT k AS hero_id, ROUND(AVG(vpip),9) AS base_vpip, ROUND(AVG(amt),6) AS base_amount_bb FROM ps WHERE pos<=GREATEST(20,LEAST(80,n//2)) GROUP BY 1")
+@query("w09_baselines", "W9", uses="hands", ctes=POS.format(k="hero_id", q="hero_id AS k", src="b_hands"), sql="SELECT k AS hero_id, ROUND(AVG(vpip),9) AS base_vpip, ROUND(AVG(amt),6) AS base_amount_bb FROM ps WHERE pos<=GREATEST(20,LEAST(80,n//2)) GROUP BY 1")
 def _(t):
     pos = streaks.positioned(timed(t), ["hero_id"], F.col("amount_bb") < 0)
     b = streaks.baseline(pos, ["hero_id"], ["vpip", "amount_bb"])
     return b.select("hero_id", F.round("base_vpip", 9).alias("base_vpip"), F.round("base_amount_bb", 6).alias("base_amount_bb"))
 
 
-@query("w10_after_streaks", "W10", uses="hands", ctes=POS.format(k="hero_id", q="hero_id AS k") + TILT, sql="SELECT k AS hero_id, end_pos, ROUND(nv,9) AS next_vpip, ROUND(na,6) AS next_amount_bb FROM aft")
+@query("w10_after_streaks", "W10", uses="hands", ctes=POS.format(k="hero_id", q="hero_id AS k", src="b_hands") + TILT, sql="SELECT k AS hero_id, end_pos, ROUND(nv,9) AS next_vpip, ROUND(na,6) AS next_amount_bb FROM aft")
 def _(t):
     pos = streaks.positioned(timed(t), ["hero_id"], F.col("amount_bb") < 0)
     a = streaks.after_streaks(pos, streaks.loss_streaks(pos, ["hero_id"]).where("n >= 30"), ["hero_id"], ["vpip", "amount_bb"])
     return a.select("hero_id", "end_pos", F.round("next_vpip", 9).alias("next_vpip"), F.round("next_amount_bb", 6).alias("next_amount_bb"))
 
 
-@query("l08_tilt_per_player", "L8", uses="hands", ctes=POS.format(k="hero_id", q="hero_id AS k") + TILT, sql=f"SELECT k AS hero_id, {TILT_OUT}")
+@query("l08_tilt_per_player", "L8", uses="hands", ctes=POS.format(k="hero_id", q="hero_id AS k", src="b_hands") + TILT, sql=f"SELECT k AS hero_id, {TILT_OUT}")
 def _(t):
     return tilt_cols(streaks.tilt(timed(t), ["hero_id"]), "hero_id")
 
 
-@query("l08_tilt_overall", "L8", uses="hands", ctes=POS.format(k="1", q="1 AS k") + TILT, sql=f"SELECT {TILT_OUT}")
+@query("l08_tilt_overall", "L8", uses="hands", ctes=POS.format(k="1", q="1 AS k", src="b_hands") + TILT, sql=f"SELECT {TILT_OUT}")
 def _(t):
     return tilt_cols(streaks.tilt(timed(t)))
 
@@ -270,7 +264,7 @@ DAY_DET = "\n".join([
     q.groups("d5", "hand_date, stack_bucket, position, phase, line_type", "(SELECT * FROM pw WHERE decision_time_ms>0)", ", quantile_cont(decision_time_ms::DOUBLE,0.25) AS t_q1, quantile_cont(decision_time_ms::DOUBLE,0.5) AS t_med, quantile_cont(decision_time_ms::DOUBLE,0.75) AS t_q3") + ",",
     "dz0 AS (SELECT hand_date, quantile_cont(bet_size::DOUBLE,0.9) AS q90 FROM pw GROUP BY 1), dz AS (SELECT hand_date, AVG(CASE WHEN bet_size>q90 THEN 1.0::DOUBLE ELSE 0 END) AS ratio, COUNT(bet_size) AS n FROM pw JOIN dz0 USING (hand_date) GROUP BY 1),",
     f"dr AS ({' UNION ALL '.join(f'SELECT hand_date, leak_code FROM ({x})' for x in q.group_rules('d3', 'd4', 'd5', 'hand_date, '))} UNION ALL SELECT hand_date, 'OVERBETTING' FROM dz WHERE ratio>0.10 AND n>=15),",
-    POS.format(k="hand_date", q="hand_date AS k").replace("FROM b_hands", "FROM pw") + TILT + ",",
+    POS.format(k="hand_date", q="hand_date AS k", src="b_hands").replace("FROM b_hands", "FROM pw") + TILT + ",",
     "dt AS (SELECT k AS hand_date FROM tl WHERE ws>0 AND NOT (vd<0.08 AND max_streak<4))",
 ])
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyfold.operators.scan import running_totals
+from tallyfold.session import written
 
 
 def positioned(rows: DataFrame, keys: Sequence[str], loss: Column, at: str = "date_utc", tie: str = "id") -> DataFrame:
@@ -51,7 +52,8 @@ def tilt(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     f = F.col
     keys = list(keys)
-    pos = positioned(rows.select(*keys, "id", "date_utc", "amount_bb", "vpip"), keys, f("amount_bb") < 0)
+    rows = written(rows.select(*keys, "id", "date_utc", "amount_bb", "vpip"), "tilt-rows")  # the scan reads its input three times,
+    pos = written(positioned(rows, keys, f("amount_bb") < 0), "tilt-places")  # what follows reads the places five times
     s = loss_streaks(pos, keys).where("n >= 30")
     s = after_streaks(pos, s, keys, ["vpip", "amount_bb"])
     b = baseline(pos, keys, ["vpip", "amount_bb"])

@@ -7,12 +7,14 @@ Grouping keys can be extended (for example by day or week) to run the detection
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyfold.functions import cards, fixed_values as fv, play
 from tallyfold.functions.numeric import clamp, count_where, finite, fixed, rate
+from tallyfold.operators import streaks
 from tallyfold.operators.scan import exact_quantiles
 
 VILLAIN = ["villain_vpip", "villain_pfr", "villain_aggression", "villain_fold_to_3bet", "villain_wtsd"]
@@ -332,15 +334,49 @@ def apply_rules(groups: DataFrame, extra: Sequence[str] = (), rules=RULES) -> Da
     return g.select(*own, hits).select(*own, "d.*")
 
 
-def detect(prep: DataFrame, extra: Sequence[str] = (), sizing: bool = True) -> DataFrame:
-    """Run every group detector. ``extra`` keys split the detection (day, week)."""
+def detect(prep: DataFrame, extra: Sequence[str] = (), rules=RULES, sizing: bool = True, tilt: bool = True) -> DataFrame:
+    """Run the given detectors. ``extra`` keys split the detection (day, week); tilt reads play as one run and leaves them out."""
     extra = list(extra)
     keys = [*extra, *GROUP, "grouping", "by"]
-    groups = group_metrics(base_groups(prep, extra), extra).join(group_quantiles(prep, extra), keys, "left")
-    found = apply_rules(groups, extra)
+    found = None
+    if rules:
+        sets = [x for x in SETS if any(r[0] == x for r in rules)]
+        groups = group_metrics(base_groups(prep, extra), extra, sets)
+        if any(re.search(r"\b(bf|q[123])\b", repr(r)) for r in rules):
+            groups = groups.join(group_quantiles(prep, extra), keys, "left")
+        else:
+            groups = groups.withColumns({q: F.lit(None).cast("double") for q in ("q1", "q2", "q3")})
+        found = apply_rules(groups, extra, rules)
     if sizing:
-        found = found.unionByName(sizing_detection(prep, extra))
-    return score_detections(found)
+        sized = sizing_detection(prep, extra)
+        found = sized if found is None else found.unionByName(sized)
+    out = None if found is None else score_detections(found)
+    if tilt and not extra:
+        shifted = tilt_detection(prep)
+        out = shifted if out is None else out.unionByName(shifted, allowMissingColumns=True)
+    return out
+
+
+def tilt_detection(prep: DataFrame) -> DataFrame:
+    """The play-style shift after losing runs as a detection (at most one row), with its worst run's first hand as example."""
+    f = F.col
+    one = streaks.tilt(prep.select("id", "date_utc", "amount_bb", "vpip")).withColumnRenamed("ev_real", "total")
+    rep = prep.select(
+        "id", "position", "phase", "opponent_type", "board_texture", "line_type", "line_street", "hero_name", f("stack_bb").alias("rep_stack_bb")
+    )
+    d = rep.join(F.broadcast(one), f("id") == f("hand_id"))
+    evidence = F.array(
+        F.concat(F.lit("streak_clusters="), "streaks"), F.concat(F.lit("max_streak="), "max_streak"),
+        F.concat(F.lit("vpip_delta_post_loss="), fixed("vpip_delta", 3)), F.concat(F.lit("ev_decay_post_loss="), fixed("ev_delta", 3)),
+    )
+    unknown = F.lit("UNKNOWN")
+    return d.select(
+        "position", "phase", F.lit("TILT_PATTERN").alias("leak_code"), f("sample_size").cast("long").alias("sample_size"), f("total").alias("ev_real"),
+        unknown.alias("stack_depth_bucket"), unknown.alias("stack_bucket"), "opponent_type", F.lit("Passive").alias("opponent_cluster"), "board_texture", "line_type",
+        evidence.alias("evidence"), "deviation_pct", "confidence", "hand_id", "hero_name", "error_severity", *[F.lit(None).cast("double").alias(x) for x in ("metric", "benchmark", "showdown_rate", "bubble_factor", "ev_expected", "ev_delta")],
+        F.lit("loss_streak + vpip_shift").alias("confidence_reason"), "rep_stack_bb", f("phase").alias("rep_phase"), f("opponent_type").alias("rep_opponent"),
+        f("board_texture").alias("rep_texture"), f("line_street").alias("rep_line"), F.lit(fv.LEAK_CODES["TILT_PATTERN"][0]).alias("category"),
+    )
 
 
 def sizing_detection(prep: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
