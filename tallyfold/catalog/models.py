@@ -26,8 +26,8 @@ def _(t):
 
 @query("f07_expansion_model", "F7 F11")
 def _(t):
-    d = md.balanced(training(t), "fez_upsell")
-    model, m = md.fit(d, md.expansion_pipeline(), fv.EXPANSION_FEATURES, "fez_upsell")
+    d = training(t)
+    model, m = md.fit(d, md.expansion_pipeline(), fv.EXPANSION_FEATURES, "fez_upsell", weighted=True)
     return md.importance_rows(d, model, fv.EXPANSION_FEATURES).withColumn("auc", F.lit(float(m["auc"])))
 
 
@@ -71,6 +71,13 @@ def _(t):
     return md.retrain_on_drift(d, recent, ["engajamento_pct", "nps_score", "mrr"], ["engajamento_pct", "nps_score"], scratch_path(t.spark, "registry"), md.churn_pipeline(trees=20))
 
 
-@query("k10_dataset_fingerprint", "K10", uses="features", sql="SELECT COUNT(*) AS rows FROM b_features")
+@query("k10_dataset_fingerprint", "K10", uses="features", sql="SELECT COUNT(*) AS rows, 4 AS versions FROM b_features")
 def _(t):
-    return md.fingerprint(t.features).select("rows")
+    """The version of a table, of the table with a row repeated twice more, with two rows repeated, and with a null: all differ."""
+    d = t.features.select("account_id", "segment", "mrr_cents")
+    first = d.where(F.col("account_id") == d.agg(F.min("account_id")).scalar())
+    last = d.where(F.col("account_id") == d.agg(F.max("account_id")).scalar())
+    changed = d.withColumn("segment", F.when(F.col("account_id") == d.agg(F.min("account_id")).scalar(), None).otherwise(F.col("segment")))
+    versions = [md.fingerprint(x).select("dataset_version") for x in (d, d.unionByName(first).unionByName(first), d.unionByName(last).unionByName(last), changed)]
+    every = versions[0].unionByName(versions[1]).unionByName(versions[2]).unionByName(versions[3])
+    return every.agg(F.count_distinct("dataset_version").cast("int").alias("versions")).select(d.agg(F.count("*")).scalar().alias("rows"), "versions")

@@ -167,12 +167,10 @@ def _(t):
     return a.unionByName(b, allowMissingColumns=True).groupBy("key").agg(F.count("*").alias("n"), F.max("balance").alias("balance"))
 
 
-@query("u04_missing_features", "U4", uses="features", sql="SELECT f AS feature, (SELECT COUNT(*) FROM b_features) AS account_rows FROM (VALUES ('engajamento_pct'),('nps_score'),('tickets_abertos'),('engagement_trend'),('tickets_trend'),('nps_trend'),('mrr'),('segment_encoded')) v(f)")
+@query("u04_missing_features", "U4", sql="SELECT doc_id AS missing FROM documents EXCEPT SELECT doc_id FROM labels")
 def _(t):
-    d = t.features
-    want = t.spark.createDataFrame([(x,) for x in fv.CHURN_FEATURES], "feature string")
-    have = t.spark.createDataFrame([(x,) for x in d.columns], "feature string")
-    return want.exceptAll(have).withColumn("account_rows", d.agg(F.count("*")).scalar())
+    """Wanted keys less the ones that are there, as sets."""
+    return t.documents.select(F.col("doc_id").alias("missing")).subtract(t.labels.select(F.col("doc_id").alias("missing")))
 
 
 # ---- windows ----
@@ -448,14 +446,26 @@ def _(t):
     return t.embeddings.withColumn("q", first.scalar()).select("vec_id", F.round(vx.cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
 
 
-@query("w20_recall", "W20 C7", ctes="qs AS (SELECT label, MIN(vec_id) AS qid FROM embeddings GROUP BY 1), d AS (SELECT e.label, qs.qid AS query_id, e.vec_id, 1.0-list_dot_product(e.embedding::DOUBLE[], x.embedding::DOUBLE[])/(sqrt(list_dot_product(e.embedding::DOUBLE[],e.embedding::DOUBLE[]))*sqrt(list_dot_product(x.embedding::DOUBLE[],x.embedding::DOUBLE[]))) AS dist FROM embeddings e JOIN qs USING (label) JOIN embeddings x ON x.vec_id=qs.qid)", sql="""
-SELECT label, query_id, vec_id, rank, ROUND(dist,6) AS distance FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY dist, vec_id) AS rank FROM d) WHERE rank<=5""")
+RECALL = "d AS (SELECT e.label, qs.qid AS query_id, e.vec_id, 1.0-list_dot_product(e.embedding::DOUBLE[], x.embedding::DOUBLE[])/(sqrt(list_dot_product(e.embedding::DOUBLE[],e.embedding::DOUBLE[]))*sqrt(list_dot_product(x.embedding::DOUBLE[],x.embedding::DOUBLE[]))) AS dist FROM embeddings e JOIN qs USING (label) JOIN embeddings x ON x.vec_id=qs.qid)"
+RECALLED = "SELECT label, query_id, vec_id, rank, ROUND(dist,6) AS distance FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY label, query_id ORDER BY dist, vec_id) AS rank FROM d) WHERE rank<=5"
+
+
+@query("w20_recall", "W20 C7", ctes=f"qs AS (SELECT label, MIN(vec_id) AS qid FROM embeddings GROUP BY 1), {RECALL}", sql=RECALLED)
 def _(t):
     e = t.embeddings
     queries = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("x")).select("label", "x.*")
     return vx.recall(e, queries, "label", "embedding", "vec_id").withColumn("distance", F.round("distance", 6))
 
 
+@query("w20_recall_two_queries", "W20 C7", ctes=f"qs AS (SELECT label, MIN(vec_id) AS qid FROM embeddings GROUP BY 1 UNION SELECT label, MAX(vec_id) FROM embeddings GROUP BY 1), {RECALL}", sql=RECALLED)
+def _(t):
+    """Two queries in every partition keep their own neighbours."""
+    e = t.embeddings
+    ends = e.groupBy("label").agg(*[f(F.struct("vec_id", "embedding"), "vec_id").alias(n) for n, f in (("a", F.min_by), ("b", F.max_by))])
+    queries = ends.select("label", F.explode(F.array_distinct(F.array("a", "b"))).alias("x")).select("label", "x.*")
+    return vx.recall(e, queries, "label", "embedding", "vec_id").withColumn("distance", F.round("distance", 6))
+
+
 @query("c06_hash_embedding_benchmark", "C6", ctes="tk AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x<>'') AS toks FROM benchmark), tt AS (SELECT item_id, unnest(range(len(toks))) AS i, toks FROM tk), hx AS (SELECT item_id, i, sha256(i || ':' || toks[i+1]) AS h FROM tt), bx AS (SELECT item_id, i, j, CAST('0x' || substr(h, CAST(2*j+1 AS INT), 2) AS INT) AS b FROM (SELECT *, unnest(range(32)) AS j FROM hx)), sl AS (SELECT item_id, (i*131+j*17+b)%384 AS slot, SUM((b-127.5)/127.5::DOUBLE) AS v FROM bx GROUP BY 1,2), nm AS (SELECT item_id, sqrt(SUM(v*v)) AS n FROM sl GROUP BY 1)", sql="SELECT item_id, slot, ROUND(v/n,6) AS v FROM sl JOIN nm USING (item_id) WHERE ROUND(v/n,6)<>0")
 def _(t):
     d = t.benchmark.select("item_id", F.posexplode(vx.hash_embedding(F.col("text"))).alias("slot", "v"))

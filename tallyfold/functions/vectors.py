@@ -22,12 +22,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def recall(memories: DataFrame, queries: DataFrame, key: str, vec: str, vec_id: str, k: int = 5) -> DataFrame:
     """The k nearest memories of each query inside the query's partition.
 
-    There is one query per partition key, so the join keeps one row per memory; the k-cut is a
-    group limit applied before the shuffle, so a partition of any size sends at most k rows per task.
+    A memory meets the queries of its own partition key; the k-cut is a group limit for each query applied
+    before the shuffle, so a partition of any size sends at most k rows per query and task.
     """
     q = queries.select(key, F.col(vec).alias("_q"), F.col(vec_id).alias("query_id"))
     d = memories.join(q, key).select(key, "query_id", vec_id, cosine_distance(F.col(vec), F.col("_q")).alias("distance"))
-    return top_per_key(d, [key], [F.col("distance"), F.col(vec_id)], k, rank="rank")
+    return top_per_key(d, [key, "query_id"], [F.col("distance"), F.col(vec_id)], k, rank="rank")
 
 
 def hash_embedding(text: Column, dims: int = 384) -> Column:

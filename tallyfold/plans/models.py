@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyfold.functions import fixed_values as fv
 from tallyfold.plans import accounts as ac
+from tallyfold.session import written
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -58,14 +59,20 @@ def expansion_pipeline(names=fv.EXPANSION_FEATURES, trees: int = 200, depth: int
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
-    """Class weights n / (classes * class size); the class table is tiny."""
+    """Class weights n / (classes * class size) in column w; the class table has a row for each class."""
     c = df.groupBy(label).agg(F.count("*").alias("_c"))
     t = c.agg(F.sum("_c").alias("n"), F.count("*").alias("k")).select((F.col("n") / F.col("k")).alias("s"))
     return df.join(F.broadcast(c), label).withColumn("w", t.scalar() / F.col("_c")).drop("_c")
 
 
-def fit(df: DataFrame, pipeline: Pipeline, names: list[str], label: str, key: str = "account_id") -> tuple[PipelineModel, dict]:
-    train, test = holdout(aligned(df, list(names)), label, key)
+def fit(df: DataFrame, pipeline: Pipeline, names: list[str], label: str, key: str = "account_id", weighted: bool = False) -> tuple[PipelineModel, dict]:
+    """Fit on the training side, measured on the rest; the features are written once for the fit and all measures.
+
+    With ``weighted`` classes are balanced by weights of the training side alone.
+    """
+    train, test = holdout(written(aligned(df, list(names)), "features"), label, key)
+    if weighted:
+        train = balanced(train, label)
     model = pipeline.fit(train)
     scored = model.transform(test)
     ev = BinaryClassificationEvaluator(labelCol=label)
@@ -201,9 +208,16 @@ def cluster_opponents(rates: DataFrame, k: int = 3) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free dataset fingerprint from row hashes."""
-    h = F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("rows"), F.hex(F.bit_xor(h)).alias("x")).select("rows", F.substring(F.sha2(F.concat_ws(":", "rows", "x"), 256), 1, 12).alias("dataset_version"))
+    """Order-free dataset fingerprint: the count, the exact sum and the XOR of row hashes.
+
+    The sum tells repeated rows apart, which cancel out in the XOR; columns are hashed with their names and nulls as such, so neither
+    can take another's place.
+    """
+    cells = [F.concat_ws("=", F.lit(c), F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("null"))) for c in sorted(df.columns)]
+    h = F.xxhash64(*cells)
+    total = df.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"))
+    text = F.concat_ws(":", F.col("rows").cast("string"), F.coalesce(F.col("s").cast("string"), F.lit("")), F.coalesce(F.col("x").cast("string"), F.lit("")))
+    return total.select("rows", F.substring(F.sha2(text, 256), 1, 12).alias("dataset_version"))
 
 
 def register(model: PipelineModel, df: DataFrame, name: str, metrics: dict, base: str) -> str:

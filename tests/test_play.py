@@ -217,3 +217,23 @@ def test_records_never_mix(spark):
     assert sorted((x["record"], x["action_order"]) for x in a) == sorted([("acr:9001", i) for i in range(1, 7)] * 2 + [("ps:1", 1), ("ps:2", 1)])
     assert {x["pot_size_before"] for x in a if x["record"].startswith("ps")} == {10.0}
     assert "Exchange" not in acts._jdf.queryExecution().optimizedPlan().toString() and "Window" not in acts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fingerprints_tell_data_apart(spark):
+    """Pairs of repeated rows do not cancel out, nulls and columns do not stand in for each other, order does not count."""
+    from tallyfold.plans import models as md
+
+    tables = [
+        [(1, "a"), (1, "a"), (2, "b")], [(9, "z"), (9, "z"), (2, "b")], [(2, "b")], [(None, "a"), (1, "a"), (2, "b")], [(1, None), (1, "a"), (2, "b")], [(1, "null"), (1, "a"), (2, "b")], [],
+    ]
+    version = lambda rows: md.fingerprint(spark.createDataFrame(rows, "k int, v string")).first()["dataset_version"]
+    assert len({version(t) for t in tables}) == len(tables) and version(tables[0]) == version(tables[0][::-1])
+
+
+def test_recall_with_several_queries_in_a_partition(spark):
+    from tallyfold.functions import vectors as vx
+
+    memories = spark.createDataFrame([("p", i, [1.0, float(i)]) for i in range(10)], "key string, id int, v array<double>")
+    got = vx.recall(memories, memories.where("id in (0, 9)"), "key", "v", "id", k=3)
+    by = {q: [r["id"] for r in got.where(f"query_id = {q}").orderBy("rank").collect()] for q in (0, 9)}
+    assert by == {0: [0, 1, 2], 9: [9, 8, 7]}
