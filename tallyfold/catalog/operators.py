@@ -8,6 +8,7 @@ from tallyfold.catalog.registry import query
 from tallyfold.functions import cards, fixed_values as fv, numeric as num, play, vectors as vx
 from tallyfold.operators import curves, dedupe, drift, quality, splits, streaks
 from tallyfold.plans import entities, weekly
+from tallyfold.session import written
 
 # ---- filters ----
 
@@ -270,10 +271,10 @@ DAY_DET = "\n".join([
 @query("a23_daily_errors", "A23 U1 B2", uses="spots", ctes=DAY_DET, sql="""SELECT strftime(d.hand_date,'%Y-%m-%d') AS date, d.week_label, CASE WHEN d.n<12 THEN 0 ELSE (SELECT COUNT(*) FROM dr WHERE dr.hand_date=d.hand_date)+(SELECT COUNT(*) FROM dt WHERE dt.hand_date=d.hand_date) END AS technical_errors,
  CASE WHEN d.n<12 THEN 0 ELSE (SELECT COUNT(*) FROM dr WHERE dr.hand_date=d.hand_date AND leak_code LIKE 'ICM%') END AS icm_errors FROM (SELECT hand_date, week_label, COUNT(*) AS n FROM pw GROUP BY 1,2) d""")
 def _(t):
-    w = weekly.with_week(t.spots)
+    w = written(weekly.with_week(t.spots), "weeks")
     from tallyfold.plans import leaks as lk
 
-    p = lk.prepare(w, lk.cluster_by_rule(lk.opponent_rates(t.spots)), keep=["hand_date"])
+    p = written(lk.prepare(w, lk.cluster_by_rule(lk.opponent_rates(t.spots)), keep=["hand_date"]), "prepared")
     s = weekly.series(weekly.error_counts(p, "hand_date"), w)
     return s.select(F.date_format("hand_date", "yyyy-MM-dd").alias("date"), "week_label", "technical_errors", "icm_errors")
 
@@ -282,8 +283,8 @@ def _(t):
 def _(t):
     from tallyfold.plans import leaks as lk
 
-    w = weekly.with_week(t.spots)
-    return weekly.report(w, lk.prepare(w, lk.cluster_by_rule(lk.opponent_rates(w)), keep=["week_label"]))
+    w = written(weekly.with_week(t.spots), "weeks")
+    return weekly.report(w, written(lk.prepare(w, lk.cluster_by_rule(lk.opponent_rates(w)), keep=["week_label"]), "prepared"))
 
 
 @query("a52_tilt_note", "A52 S8", sql="SELECT 'Disciplina de Tilt: ' || CASE WHEN a<15 THEN 'Excelente' WHEN a<30 THEN 'Moderada' ELSE 'Critica' END || ' (media ' || printf('%.1f', a) || '%).' AS note FROM (SELECT AVG(value) AS a FROM events WHERE ts>=TIMESTAMP '2024-01-24 00:00:00')")

@@ -17,8 +17,9 @@ from tallyfold.session import written
 def positioned(rows: DataFrame, keys: Sequence[str], loss: Column, at: str = "date_utc", tie: str = "id") -> DataFrame:
     """Adds pos (1-based place in time), wins (non-losses so far) and n (rows of the key)."""
     by = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = written(rows.withColumn("_loss", loss), "places")  # the scan reads its input three times
     r = running_totals(
-        rows.withColumn("_loss", loss), keys, [F.col(at), F.col(tie)], {"pos": F.lit(1), "wins": F.when(F.col("_loss"), 0).otherwise(1)}, by, totals=True, tie=F.col(tie)
+        rows, keys, [F.col(at), F.col(tie)], {"pos": F.lit(1), "wins": F.when(F.col("_loss"), 0).otherwise(1)}, by, totals=True, tie=F.col(tie)
     )
     return r.withColumnRenamed("pos_total", "n").drop("wins_total")
 
@@ -52,8 +53,8 @@ def tilt(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     f = F.col
     keys = list(keys)
-    rows = written(rows.select(*keys, "id", "date_utc", "amount_bb", "vpip"), "tilt-rows")  # the scan reads its input three times,
-    pos = written(positioned(rows, keys, f("amount_bb") < 0), "tilt-places")  # what follows reads the places five times
+    pos = positioned(rows.select(*keys, "id", "date_utc", "amount_bb", "vpip"), keys, f("amount_bb") < 0)
+    pos = written(pos, "tilt")  # what follows reads the places five times
     s = loss_streaks(pos, keys).where("n >= 30")
     s = after_streaks(pos, s, keys, ["vpip", "amount_bb"])
     b = baseline(pos, keys, ["vpip", "amount_bb"])
