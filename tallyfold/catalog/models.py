@@ -34,13 +34,13 @@ def _(t):
 @query("f08_policy_model", "F8 F12 D26")
 def _(t):
     model, m = md.train_policy(t.spots)
-    return md.policy_decisions(model, md.policy_rows(t.spots)).withColumn("test_accuracy", F.lit(float(m["accuracy"])))
+    return md.policy_decisions(model, md.policy_rows(t.spots)).withColumns({"test_accuracy": F.lit(float(m["accuracy"])), "passes": F.lit(m["accuracy"] >= 0.4)})
 
 
 @query("f09_value_models", "F9")
 def _(t):
     rows = md.value_models(dc.model_features(t.spots))
-    return t.spark.createDataFrame([(r["scope"], r["mae"], r["win_auc"]) for r in rows], "scope string, mae double, win_auc double")
+    return t.spark.createDataFrame([(*r.values(), r["win_auc"] >= 0.5 and r["brier"] <= 0.26) for r in rows], "scope string, mae double, win_auc double, raw_brier double, brier double, passes boolean")
 
 
 @query("f13_cross_validation", "F13")

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -110,25 +110,30 @@ def policy_rows(hands: DataFrame) -> DataFrame:
 
     f = F.col
     bb = f("big_blind").cast("double")
+    given = lambda name: F.coalesce(f(name).cast("double"), F.lit(0.0)) if name in hands.columns else F.lit(0.0)
     stack = F.when(bb > 0, f("hero_stack_start") / bb).otherwise(0.0)
     d = hands.select(
         "id", "session_id", "date_utc", play.training_action("hero_action_preflop").alias("label_action"),
         cards.label_from_pair("hero_cards").alias("hand"), play.seat("hero_position").alias("position"), F.lit("PREFLOP").alias("street"), F.lit("NO_BOARD").alias("board_texture"),
-        stack.alias("stack_bb"), F.lit(0.0).alias("pot_bb_before"), f("num_players").cast("double").alias("num_players"), F.lit(0.0).alias("limpers"), F.lit(0.0).alias("open_size_bb"),
+        stack.alias("stack_bb"), F.lit(0.0).alias("pot_bb_before"), f("num_players").cast("double").alias("num_players"), given("limpers").alias("limpers"), given("open_size_bb").alias("open_size_bb"),
         F.when(bb > 0, f("ante") / bb).otherwise(0.0).alias("ante_bb"), F.when(bb > 0, bb).otherwise(100.0).alias("bb_chips"), stack.alias("effective_stack_bb"),
-        F.lit(0.0).alias("spr"), F.lit(0.0).alias("open_to_stack_ratio"), F.lit(0.0).alias("board_cards_count"), F.lit(0.0).alias("is_3bet_spot"),
+        F.lit(0.0).alias("spr"), F.coalesce(F.try_divide(given("open_size_bb"), stack), F.lit(0.0)).alias("open_to_stack_ratio"), F.lit(0.0).alias("board_cards_count"), given("is_3bet_spot").alias("is_3bet_spot"),
     )
     return d.where("label_action IS NOT NULL")
 
 
-def policy_pipeline() -> Pipeline:
+def policy_pipeline(most_frequent: dict[str, str]) -> Pipeline:
+    """Medians for missing numbers, the training rows' most frequent value for missing text."""
     cats = [f"{c}_i" for c in POLICY_TEXT]
+    quoted = {c: v.replace("'", "''") for c, v in most_frequent.items()}
+    filled = ", ".join(f"coalesce({c}, '{quoted[c]}') AS {c}_f" for c in POLICY_TEXT)
     return Pipeline(stages=[
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
         StringIndexer(inputCol="label_action", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"),
         Imputer(strategy="median", inputCols=POLICY_NUMERIC, outputCols=[f"{c}_n" for c in POLICY_NUMERIC]),
         VectorAssembler(inputCols=[f"{c}_n" for c in POLICY_NUMERIC], outputCol="nums"),
         StandardScaler(withMean=True, inputCol="nums", outputCol="nums_s"),
-        StringIndexer(inputCols=POLICY_TEXT, outputCols=cats, handleInvalid="keep"),
+        StringIndexer(inputCols=[f"{c}_f" for c in POLICY_TEXT], outputCols=cats, handleInvalid="keep"),
         OneHotEncoder(inputCols=cats, outputCols=[f"{c}_h" for c in POLICY_TEXT], handleInvalid="keep"),
         VectorAssembler(inputCols=["nums_s", *[f"{c}_h" for c in POLICY_TEXT]], outputCol="features"),
         LogisticRegression(maxIter=100, family="multinomial", weightCol="w"),
@@ -139,9 +144,10 @@ def train_policy(hands: DataFrame) -> tuple[PipelineModel, dict]:
     """Walk-forward training: fit on the oldest sessions, measure on the newest."""
     from tallyfold.operators.splits import walk_forward
 
-    rows = walk_forward(policy_rows(hands))
+    rows = written(walk_forward(policy_rows(hands)), "policy")
     train, test = balanced(rows.where("split = 'train'"), "label_action"), rows.where("split = 'test'")
-    model = policy_pipeline().fit(train)
+    modes = train.agg(*[F.coalesce(F.mode(c), F.lit("")).alias(c) for c in POLICY_TEXT]).first().asDict()
+    model = policy_pipeline(modes).fit(train)
     scored = model.transform(test)
     ev = MulticlassClassificationEvaluator()
     n = rows.count()
@@ -153,7 +159,7 @@ def train_policy(hands: DataFrame) -> tuple[PipelineModel, dict]:
 
 def policy_decisions(model: PipelineModel, rows: DataFrame, floor: float = 0.55) -> DataFrame:
     """Most likely action per row; below the floor the row abstains."""
-    names = model.stages[0].labels
+    names = model.stages[1].labels
     p = vector_to_array("probability")
     top = F.array_max(F.array(*[F.struct(p[i].alias("p"), F.lit(n).alias("k")) for i, n in enumerate(names)]))
     d = model.transform(rows.withColumn("w", F.lit(1.0))).withColumn("_t", top)
@@ -166,18 +172,30 @@ VALUE_FEATURES = ["position_ord", "stack_zone", "m_zone", "m_ratio", "vpip", "pf
 
 
 def value_models(features: DataFrame, trees: int = 20, depth: int = 4, min_rows: int = 120) -> list[dict]:
-    """A value regressor and a win classifier over everything and per stack zone with enough rows."""
-    rows = aligned(features.withColumn("target_amount", F.col("target_amount").cast("double")), VALUE_FEATURES)
+    """A value regressor and a win classifier over everything and per stack zone with enough rows.
+
+    The classifier is fitted on three quarters of the training rows; a sigmoid fitted on the rest calibrates its probability.
+    """
+    rows = written(aligned(features.withColumn("target_amount", F.col("target_amount").cast("double")), VALUE_FEATURES), "values")
     sizes = {r["stack_zone"]: r["count"] for r in rows.groupBy("stack_zone").count().collect()}  # at most three rows
     out = []
     for name, part in [("all", rows), *[(f"zone{int(z)}", rows.where(F.col("stack_zone") == z)) for z, n in sorted(sizes.items()) if n >= min_rows]]:
         train, test = holdout(part, "target_win", "id")
         vec = VectorAssembler(inputCols=VALUE_FEATURES, outputCol="features")
         reg = Pipeline(stages=[vec, GBTRegressor(labelCol="target_amount", maxIter=trees, maxDepth=depth, seed=42)]).fit(train)
-        win = Pipeline(stages=[vec, RandomForestClassifier(labelCol="target_win", numTrees=trees, maxDepth=depth, seed=42)]).fit(train)
+        grow, held = holdout(train, "target_win", "id", 0.25, 7)
+        win = Pipeline(stages=[vec, RandomForestClassifier(labelCol="target_win", numTrees=trees, maxDepth=depth, seed=42)]).fit(grow)
+        raw = vector_to_array("probability")[1]
+        own = lambda d: win.transform(d).withColumn("raw_win", raw).select("target_win", "rawPrediction", "raw_win")
+        sigmoid = Pipeline(stages=[
+            VectorAssembler(inputCols=["raw_win"], outputCol="score"), LogisticRegression(featuresCol="score", labelCol="target_win", rawPredictionCol="sigmoid_raw", probabilityCol="sigmoid", predictionCol="sigmoid_class"),
+        ])
+        scored = sigmoid.fit(own(held)).transform(own(test)).withColumn("win_probability", vector_to_array("sigmoid")[1])
+        off = lambda p: F.avg((F.col(p) - F.col("target_win")) ** 2)
+        brier = scored.agg(off("raw_win").alias("raw"), off("win_probability").alias("calibrated")).first()
         mae = RegressionEvaluator(labelCol="target_amount", metricName="mae").evaluate(reg.transform(test))
-        auc = BinaryClassificationEvaluator(labelCol="target_win").evaluate(win.transform(test))
-        out.append({"scope": name, "mae": float(mae), "win_auc": float(auc)})
+        auc = BinaryClassificationEvaluator(labelCol="target_win").evaluate(scored)
+        out.append({"scope": name, "mae": float(mae), "win_auc": float(auc), "raw_brier": float(brier["raw"]), "brier": float(brier["calibrated"])})
     return out
 
 
