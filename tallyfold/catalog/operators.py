@@ -279,7 +279,17 @@ def _(t):
     return s.select(F.date_format("hand_date", "yyyy-MM-dd").alias("date"), "week_label", "technical_errors", "icm_errors")
 
 
-@query("b02_weekly_report", "B2", uses="spots")
+WEEK_DET = ",\n".join([
+    f"{q.PREP}, pw AS (SELECT prep.*, CASE WHEN hand_date>a-7 THEN '{weekly.CURRENT}' ELSE '{weekly.PREVIOUS}' END AS week_label FROM prep, (SELECT MAX(hand_date) AS a FROM b_spots) WHERE hand_date>a-14)",
+    q.groups("w3", "week_label, stack_bucket, position, phase", "pw"),
+    f"wr AS ({next(x for x in q.group_rules('w3', 'w3', '', 'week_label, ') if 'ICM_SUICIDE' in x)})",
+    f"kp AS (SELECT week_label, COUNT(*) AS hands, ROUND({BB100},4) AS bb100, ROUND(coalesce(AVG(CASE WHEN position='SB' AND big_blind>0 AND hero_stack_start/big_blind BETWEEN 15 AND 25 THEN hero_pfr END),0),4) AS sb FROM pw GROUP BY 1)",
+    """lg AS (SELECT week_label, unnest([struct_pack(k:='hands', v:=hands::DOUBLE), struct_pack(k:='bb100', v:=bb100::DOUBLE), struct_pack(k:='sb_pfr_15_25bb', v:=sb::DOUBLE),
+ struct_pack(k:='icm_suicide', v:=(CASE WHEN hands<12 THEN 0 ELSE (SELECT COUNT(*) FROM wr WHERE wr.week_label=kp.week_label) END)::DOUBLE)]) AS x FROM kp)""",
+])
+
+
+@query("b02_weekly_report", "B2", uses="spots", ctes=WEEK_DET, sql=f"""SELECT kpi, previous, current, ROUND(current-previous,4) AS delta FROM (SELECT x.k AS kpi, coalesce(MAX(x.v) FILTER (WHERE week_label='{weekly.PREVIOUS}'),0.0) AS previous, coalesce(MAX(x.v) FILTER (WHERE week_label='{weekly.CURRENT}'),0.0) AS current FROM lg GROUP BY 1)""")
 def _(t):
     from tallyfold.plans import leaks as lk
 
