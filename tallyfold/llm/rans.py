@@ -15,6 +15,7 @@ for all lanes at once, and any segment decodes alone from its checkpoint.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,12 +30,16 @@ from tallyfold.session import scratch_path
 
 BITS = 20  # frequencies add up to 2 ** BITS
 LOW = np.uint64(1 << 31)  # states stay in [2 ** 31, 2 ** 63)
-LANES = 512
-SEGMENT = 1 << 16  # tokens between checkpoints, a multiple of LANES
-BLOCK = 1 << 18  # tokens after which a block ends with the document at hand
+LANES = 2048
+SEGMENT = 1 << 17  # tokens between checkpoints, a multiple of LANES
+BLOCK = 1 << 19  # tokens after which a block ends with the document at hand
 HEAD, MAGIC = struct.Struct("<4sIQQI"), b"rAN1"
 MOST_IDS = 1 << 16  # tokens of a vocabulary, which bounds the shared table
-KEPT = 300_000  # words whose ids a worker remembers
+KEPT = 200_000  # words whose ids a worker remembers, twice: what the older half holds comes over when it is met
+# fixed values: the tokenizer's word pattern, with its classes of letters and numbers as far as Latin-1 goes
+LETTER, NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+").findall
+ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0]|<\\|").search
 
 
 # --- coding ---
@@ -125,29 +130,56 @@ class Coder:
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space: each word between blanks is encoded once and remembered.
+    """Ids of whole texts by a lower-casing tokenizer that drops white space and marks the ends of words.
 
-    Spaces and line feeds never take part in a token of such a tokenizer, so a text's ids are its words' ids in order.
+    No token of such a tokenizer reaches beyond a match of its word pattern, so a text's ids are those of its words, in order. Words
+    are remembered; new ones go to the library joined by spaces, and their ids are told apart by the tokens that end a word.
+    Texts with anything out of the ordinary (beyond Latin-1, control characters, a special token's brackets) go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(MOST_IDS, bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids."""
-        if len(self.known) > KEPT:
-            self.known = {}
-        known = self.known
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u2").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        split = [self._words(t or "") for t in texts]
+        if len(self.words) > KEPT:
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        new = set().union(*[ws for ws in split if ws is not None]) - words.keys()
+        for w in new & older.keys():
+            words[w] = older[w]
+        self._learn(list(new - older.keys()))
+        return [b"".join(map(words.__getitem__, ws)) if ws is not None else self._whole(t) for ws, t in zip(split, texts)]
+
+    def _words(self, text: str) -> list[str] | None:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if ODD(text) else WORDS(text.lower())
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _learn(self, missing: list[str]) -> None:
+        groups = [missing[i : i + 256] for i in range(0, len(missing), 256)]
+        for at in range(0, len(groups), 16):
+            got = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups[at : at + 16]], add_special_tokens=False)
+            for group, e in zip(groups[at : at + 16], got):
+                ids = np.array(e.ids, "<u2")
+                cut = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(cut) != len(group):
+                    raise ValueError("the tokenizer cuts words in another way")
+                raw = ids.tobytes()
+                self.words.update(zip(group, (raw[a:b] for a, b in zip([0, *cut], cut))))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}  # a worker's, kept from task to task
