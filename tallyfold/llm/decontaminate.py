@@ -36,14 +36,14 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[bytes]:
 
 
 def item_windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id string, window string) without repeats; a null or wordless item has none."""
+    """(item_id string, window string) without repeats; an item without words or without an id has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             rows = [(i, w.decode()) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in set(windows_of(words_of(t), size))]
             yield {"item_id": [r[0] for r in rows], "win": [r[1] for r in rows]}
 
-    return map_stream(items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")), run, "item_id string, win string").distinct()
+    return map_stream(items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null"), run, "item_id string, win string").distinct()
 
 
 @dataclass
@@ -177,8 +177,7 @@ def without_spans(docs: DataFrame, items: DataFrame, size: int = WINDOW, most_hi
     """
     spark = docs.sparkSession
     windows = staged(item_windows(items, size).groupBy("win").agg(F.collect_set("item_id").alias("items")), "windows")
-    out, parts = docs, max(1, -(-windows.count() // MOST_WINDOWS))
-    mark, n_words = "_decontaminate_cut", "_decontaminate_words"
+    out, parts, mark = docs, max(1, -(-windows.count() // MOST_WINDOWS)), "_decontaminate_cut"
     for part in range(parts):
         mine = windows.where(F.pmod(F.xxhash64("win"), F.lit(parts)) == part)
         held = spark.sparkContext.broadcast({r["win"].encode(): r["items"] for r in mine.toLocalIterator()})
@@ -192,7 +191,7 @@ def without_spans(docs: DataFrame, items: DataFrame, size: int = WINDOW, most_hi
                 rows.append(_cut(t, at, most_hit))
             return pd.DataFrame(rows, columns=["kept", "text"])
 
-        out = out.withColumn(mark, cut(F.col(text_col)))
+        out = out.withColumn(mark, cut.asNondeterministic()(F.col(text_col)))  # so that it is not computed again for the filter
         out = out.where(F.col(mark)["kept"]).withColumn(text_col, F.col(mark)["text"]).select(*docs.columns)
     return out
 
