@@ -264,22 +264,21 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row of every component, the one with the least doc_id (null ids last, ties by the text's hash), with all its columns.
 
     Rows are told apart by id and text hash, so rows that repeat both count as one. Null, empty and blank texts are one
-    component. The rows that go are joined against the documents; whether they are broadcast is left to Spark's measured sizes.
+    component. What stays is found per component by aggregation and joined with the documents once.
     """
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    row, key, th = "_simhash_row", "_simhash_id", "_simhash_text"
+    key, th, n = "_simhash_id", "_simhash_text", "_simhash_rows"
     prints = staged(fingerprints(docs, id_col, text_col, with_hash=True), "simhash")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
     roots = components(links(nodes))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
     member = prints.join(rooted, "fp").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    member = staged(member, "simhash-members")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text"))
-    first = member.groupBy("root").agg(F.min(order).alias("first"))
-    judged = member.join(first, "root").withColumn("stays", order == F.col("first"))
-    gone = judged.where(~F.col("stays")).select(F.col("doc_id").alias(key), F.col("text_hash").alias(th))
-    again = judged.where("stays and n > 1").select(F.col("doc_id").alias(key), F.col("text_hash").alias(th))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text"), "n")
+    first = staged(member.groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.id").alias(key), F.col("f.text").alias(th), F.col("f.n").alias(n)), "simhash-first")
     same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash == F.col(th))
-    left = docs.join(gone, same, "left_anti")
-    once = left.join(again, same, "left_semi").withColumn(row, F.col(id_col).cast("string")).groupBy(row, text_hash.alias(th)).agg(F.first(F.struct(*docs.columns)).alias("d")).select("d.*")
-    return left.join(again, same, "left_anti").unionByName(once) if again.limit(1).count() else left
+    single, repeated = first.where(F.col(n) == 1), first.where(F.col(n) > 1)
+    out = docs.join(single, same, "left_semi")
+    if not repeated.limit(1).count():
+        return out
+    copies = docs.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias(key), text_hash.alias(th))
+    return out.unionByName(copies.agg(F.first(F.struct(*docs.columns)).alias("d")).select("d.*"))
