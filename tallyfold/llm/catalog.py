@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyfold.llm import decontaminate, histogram_sort, personal_data, pieces, pu_quality, quality_rules, rans, revisits, simhash, site_lines
-from tallyfold.llm.common import read
+from tallyfold.llm.common import read, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,8 +60,9 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_histogram_sort_shards")
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    docs = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    return histogram_sort.sharded(docs, 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(raw) + 8).cast("long").alias("size")
+    out = staged(histogram_sort.sharded(read(spark, sf_dir, "documents").select("*", size), 24), "shards", "zstd")  # whole documents; what follows reads what came out
+    return out.select("doc_id", size, F.crc32(raw).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query("op4_pu_quality_classifier")

@@ -103,7 +103,7 @@ def sharded(docs: DataFrame, shards: int, key: str = "doc_id", size: str = "size
     k, row, piece, sz = "_sort_key", "_sort_row", "_sort_piece", "_sort_size"
     names = [c for c in docs.columns if c not in ("shard", "slot")]
     given = docs.select(*names, F.coalesce(F.col(key).cast("long"), F.lit(-_HALF)).alias(k), F.coalesce(F.col(size), F.lit(0)).cast("long").alias(sz), F.monotonically_increasing_id().alias(row))
-    given = staged(given, "shard-rows")
+    given = staged(given, "shard-rows", "zstd")  # whole rows: disk counts
     table = given.select(F.col(k).alias("key"), F.col(row).alias("row"), F.col(sz).alias("size"))
     total = table.agg(F.sum("size")).first()[0] or 0
     each = max(1, min(MOST_PIECES // shards, -(-total // (shards * PIECE_BYTES))))

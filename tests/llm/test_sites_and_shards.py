@@ -128,3 +128,19 @@ def test_shard_query(spark, sf):
     assert set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all() and set(got["shard"]) <= set(range(24))
     size = got.groupby("shard")["size"].sum()
     assert size.max() - size.min() <= 2 * max(got["size"])
+
+
+def test_shard_query_digests_the_rows_that_come_out(spark, sf, monkeypatch):
+    """Whole documents are sharded, and a text that the exchange changed shows in size and checksum."""
+    real, given = histogram_sort.sharded, []
+
+    def harmed(docs, shards):
+        given.append(docs.columns)
+        return real(docs, shards).withColumn("text", F.concat("text", F.lit("!")))
+
+    monkeypatch.setattr(histogram_sort, "sharded", harmed)
+    got = catalog.QUERIES["op9_histogram_sort_shards"](spark, sf).toPandas().sort_values("doc_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert set(docs.columns) <= set(given[0])
+    raw = [f"{t}!".encode() for t in docs.toPandas().sort_values("doc_id")["text"]]
+    assert got["size"].tolist() == [len(r) + 8 for r in raw] and got["text_crc32"].tolist() == [zlib.crc32(r) for r in raw]
