@@ -15,14 +15,16 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_words: int = 0) -> DataFrame:
     """(host, lines): the boilerplate lines of every host that has any, from (host, text).
 
-    A page counts once for each different line on it, blank lines never; the counts of a host or a line are added
+    A page counts once for each different line on it, blank lines and those under ``least_words`` words never; the counts of a host or a line are added
     up in each task before the shuffle, so a hot host or line costs a row for each task. A host has no more such
     lines than its mean number of lines on a page divided by ``ratio``, which bounds the arrays.
     """
     own = F.array_distinct(F.filter(lines_of(F.col("text")), lambda x: F.trim(x) != ""))
+    if least_words:
+        own = F.filter(own, lambda x: F.size(F.split(F.trim(x), r"\s+")) >= least_words)
     n = pages.select("host", F.explode(own).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     total = pages.groupBy("host").agg(F.count("*").alias("total"))
     common = n.where(F.col("n") >= least_pages).join(total, "host").where(F.col("n") > ratio * F.col("total"))
@@ -30,7 +32,7 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
 
 
 def without_boilerplate(
-    docs: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: bool = False
+    docs: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: bool = False, least_words: int = 0
 ) -> DataFrame:
     """Every row of ``docs`` with the boilerplate lines of its host cut out of the text; columns and order stay.
 
@@ -42,7 +44,7 @@ def without_boilerplate(
     names = docs.columns
     site, salt, drop = "_site_host", "_site_salt", "_site_lines"
     given = docs.withColumn(site, F.coalesce(host.cast("string"), F.lit("")))
-    lists = staged(boilerplate(given.select(F.col(site).alias("host"), F.col(text_col).alias("text")), ratio, least_pages), "site-lines")
+    lists = staged(boilerplate(given.select(F.col(site).alias("host"), F.col(text_col).alias("text")), ratio, least_pages, least_words), "site-lines")
     lists = lists.select(F.col("host").alias(site), F.col("lines").alias(drop))
     size = lists.agg(F.sum(F.length(F.array_join(drop, "\n")) * 4 + F.size(drop) * 16 + F.length(site) * 4)).first()[0] or 0
     if size <= BROADCAST_BYTES:
