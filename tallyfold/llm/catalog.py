@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfold.llm import decontaminate, histogram_sort, personal_data, pieces, pu_quality, quality_rules, rans, revisits, simhash, site_lines
+from tallyfold.llm import decontaminate, histogram_sort, personal_data, pieces, pu_quality, quality_rules, rans, revisits, simhash, site_lines, weighted_samples
 from tallyfold.llm.common import read, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_warc_revisit_resolution", revisits.SQL)
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisits.resolved(revisits.captures_of(read(spark, sf_dir, "pages"))).withColumn("headers", revisits.header_text(F.col("headers")))
+
+
+@query("op13_consistent_weighted_sampling")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_samples.neighbours(read(spark, sf_dir, "documents"))
