@@ -20,7 +20,8 @@ from tallyfold.operators.scan import SLICE, add_slice
 
 SAMPLES = 64
 DIGITS = 4  # hexadecimal digits of a sample
-R_BITS, C_BITS, B_BITS = 12, 16, 36  # of a word's hash, for its draws of r, c and b
+R_BITS, C_BITS, B_BITS = 12, 14, 38  # of a word's hash, for its draws of r, c and b
+SALT = 0x9E3779B97F4A7C15  # times the sample's number, mixed into the word's hash
 WORD_ENDS = r"[\x20\x09-\x0D]+"
 LEAST_ID = -(1 << 63)
 
@@ -36,13 +37,22 @@ def gamma_quantiles(spark: SparkSession, bits: int) -> DataFrame:
     return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "x"))), lambda e: e["x"]).alias("q"))
 
 
-def _draw(word: Column, log_weight: Column, k: int, r_of: Column, log_c_of: Column) -> Column:
-    """ln a of one word for sample k."""
-    h = F.xxhash64(word, F.lit(k))
-    r = F.get(r_of, h.bitwiseAND((1 << R_BITS) - 1).cast("int"))
-    log_c = F.get(log_c_of, F.shiftrightunsigned(h, R_BITS).bitwiseAND((1 << C_BITS) - 1).cast("int"))
+def draw_tables(spark: SparkSession, roles: int) -> DataFrame:
+    """(role, r_of, log_c_of): the quantiles of r and of ln c, once for every role; a few hundred kilobytes."""
+    both = gamma_quantiles(spark, R_BITS).select(F.lit(1).alias("one"), F.col("q").alias("r_of")).join(
+        gamma_quantiles(spark, C_BITS).select(F.lit(1).alias("one"), F.transform("q", lambda x: F.ln(x)).alias("log_c_of")), "one"
+    )
+    return both.select(F.explode(F.sequence(F.lit(0), F.lit(roles - 1))).alias("role"), "r_of", "log_c_of")
+
+
+def _draw(word: Column, log_weight: Column, k: int) -> Column:
+    """ln a of one word for sample k, from the tables beside it."""
+    salt = k * SALT % (1 << 64)
+    h = F.xxhash64(word.bitwiseXOR(F.lit(salt - (1 << 64) if salt >> 63 else salt)))
+    r = F.get("r_of", h.bitwiseAND((1 << R_BITS) - 1).cast("int"))
+    log_c = F.get("log_c_of", F.shiftrightunsigned(h, R_BITS).bitwiseAND((1 << C_BITS) - 1).cast("int"))
     b = F.shiftrightunsigned(h, R_BITS + C_BITS) * F.lit(2.0**-B_BITS)
-    return log_c - r * (F.floor(log_weight / r + b) - b + 1)
+    return F.when(log_weight == 0, log_c - r * (1 - b)).otherwise(log_c - r * (F.floor(log_weight / r + b) - b + 1))  # a weight of 1 has level 0
 
 
 # --- weighted words ---
@@ -105,10 +115,9 @@ def fingerprints(docs: DataFrame, keys: list[str], texts: list[str], samples: in
     at = at.select("*", *[_run_starts(f"_h{i}").alias(f"_s{i}") for i in range(len(texts))])
     row = F.expr(f"array(struct({len(texts)} AS role, CAST(NULL AS bigint) AS word, CAST(NULL AS double) AS log_weight))")  # one for the row itself
     words = F.concat(*[_weighted(f"_h{i}", f"_s{i}", i) for i in range(len(texts))], row)
-    each = at.select(*keys, F.inline(words))
-    r_of = gamma_quantiles(spark, R_BITS).scalar()
-    log_c_of = gamma_quantiles(spark, C_BITS).select(F.transform("q", lambda x: F.ln(x))).scalar()
-    least = [F.min(_draw(F.col("word"), F.col("log_weight"), k, r_of, log_c_of)).alias(f"_m{k}") for k in range(samples)]
+    tables = staged(draw_tables(spark, len(texts) + 1), "gamma-quantiles")
+    each = at.select(*keys, F.inline(words)).join(F.broadcast(tables), "role")  # of constant size
+    least = [F.min(_draw(F.col("word"), F.col("log_weight"), k)).alias(f"_m{k}") for k in range(samples)]
     found = each.groupBy(*keys, "role").agg(F.count("*").alias("n"), *least)  # under 100 columns, beyond which Spark compiles no code
 
     def digits(m: Column) -> Column:
