@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfold.llm import decontaminate, histogram_sort, personal_data, pieces, pu_quality, quality_rules, rans, revisits, simhash, site_lines, weighted_samples
+from tallyfold.llm import block_max, decontaminate, histogram_sort, personal_data, pieces, prefix_trie, pu_quality, quality_rules, rans, revisits, simhash, site_lines, weighted_samples
 from tallyfold.llm.common import read, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,16 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisits.resolved(revisits.captures_of(read(spark, sf_dir, "pages"))).withColumn("headers", revisits.header_text(F.col("headers")))
 
 
+@query("op11_block_max_maxscore", block_max.SQL)
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op12_conversation_prefix_trie", prefix_trie.SQL)
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(read(spark, sf_dir, "conversations"))
+
+
 @query("op13_consistent_weighted_sampling")
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_samples.neighbours(read(spark, sf_dir, "documents"))
