@@ -267,8 +267,8 @@ def prefix_nodes(turns: DataFrame, most: int = SHARD_TURNS) -> DataFrame:
 SQL = """
 WITH b AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 s AS (SELECT c, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM b GROUP BY c),
-h AS (SELECT *, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), x -> ascii(x)::BIGINT)),
-  (p, x) -> list_reduce([xor(p, x), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], (v, k) -> xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 9 AS h FROM s),
+h AS (SELECT *, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+  lambda p, x: list_reduce([xor(p, x), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 9 AS h FROM s),
 r AS (SELECT h.c, list_concat(coalesce(o.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN s o ON o.c = h.base),
 p AS (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM r),
 n AS (SELECT d AS depth, turns[1:d] AS prefix, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len(turns) = d), '') AS ends FROM p GROUP BY d, turns[1:d]),
