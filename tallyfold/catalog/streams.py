@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tallyfold.catalog import decisions as cd, ingest as ci, operators as co
 from tallyfold.catalog.registry import query
 from tallyfold.sources import bindings
-from tallyfold.streaming import drains, play as sp
+from tallyfold.session import scratch_path
+from tallyfold.streaming import bounded, drains, play as sp
 
 
 def events(t):
@@ -99,3 +100,45 @@ def _(t):
        sql="SELECT hero_id, strftime(st,'%Y-%m-%d %H:%M:%S') AS started, hands, wins FROM ss")
 def _(t):
     return drains.final(sp.play_sessions(hands(t), "at"), "play-sessions")
+
+
+# ---- bounded state: rows arrive in four shares by date, every tenth row a share or more too late ----
+
+LATENESS = "2 days"
+
+
+def landed(t):
+    """The events as they land: shares of eight days each, one after the other, with displaced rows."""
+    path = scratch_path(t.spark, "landed")
+    day = F.dayofmonth("ts")
+    share = F.least(F.lit(3), F.floor((day - 1) / 8) + F.when(F.col("event_id") % 10 == 0, 1 + F.col("event_id") % 2).otherwise(0))
+    for k in range(4):
+        t.events.where(share == k).write.mode("append").parquet(path)
+    d = drains.files(t.spark, path, t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema, per_batch=4)
+    return d.selectExpr(*[f"{e} AS {n}" for n, e in bindings.HANDS]).withColumn("at", F.col("date_utc").cast("timestamp"))
+
+
+@query("r01_bounded_ingest", "R1 R9 K5", uses="hands", sql="SELECT id, hand_id, won_cents FROM b_hands")
+def _(t):
+    hands_ = landed(t).select("id", "hand_id", "won_cents", "at")
+    return bounded.first_per_key(hands_, "at", ["hand_id"], LATENESS).rows.drop("at")
+
+
+@query("r02_bounded_repeats", "R2", uses="hands", ctes="""rg AS (SELECT hero_id, hero_position, date_utc, CASE WHEN date_utc - lag(date_utc) OVER w < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS b FROM b_hands WINDOW w AS (PARTITION BY hero_id, hero_position ORDER BY date_utc, id)),
+ rs AS (SELECT *, SUM(b) OVER (PARTITION BY hero_id, hero_position ORDER BY date_utc ROWS UNBOUNDED PRECEDING) AS sid FROM rg)""",
+       sql="SELECT hero_id, hero_position, strftime(MIN(date_utc),'%Y-%m-%d %H:%M:%S') AS first_at, COUNT(*) AS copies FROM rs GROUP BY hero_id, hero_position, sid")
+def _(t):
+    b = bounded.sessions(landed(t).select("hero_id", "hero_position", "at"), "at", LATENESS, "12 hours", ["hero_id", "hero_position"], {"copies": F.lit(1)})
+    return b.rows.select("hero_id", "hero_position", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("first_at"), "copies")
+
+
+@query("r09_bounded_daily", "R9 A5", uses="hands", sql="SELECT strftime(hand_date,'%Y-%m-%d') AS date, COUNT(*) AS hands, AVG(hero_vpip) AS vpip, AVG(hero_pfr) AS pfr FROM b_hands GROUP BY 1")
+def _(t):
+    b = bounded.windowed(landed(t).select("hero_vpip", "hero_pfr", "at"), "at", LATENESS, {"hands": F.lit(1), "v": F.col("hero_vpip"), "p": F.col("hero_pfr")}, "1 day")
+    return b.rows.select(F.date_format("start", "yyyy-MM-dd").alias("date"), "hands", (F.col("v") / F.col("hands")).alias("vpip"), (F.col("p") / F.col("hands")).alias("pfr"))
+
+
+@query("r09_bounded_week", "R9 A21", uses="hands", sql="SELECT strftime(hand_date-k,'%Y-%m-%d') AS from_date, COUNT(*) AS hands, CAST(SUM(won_cents) AS BIGINT) AS net_cents FROM (SELECT hand_date, won_cents, CAST(unnest(range(7)) AS INT) AS k FROM b_hands) GROUP BY 1")
+def _(t):
+    b = bounded.windowed(landed(t).select("won_cents", "at"), "at", LATENESS, {"hands": F.lit(1), "net_cents": F.col("won_cents")}, "7 days", "1 day")
+    return b.rows.select(F.date_format("start", "yyyy-MM-dd").alias("from_date"), "hands", "net_cents")
