@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tallyfold.catalog.registry import query
 from tallyfold.plans import play_stats as ps
 from tallyfold.session import scratch_path
-from tallyfold.sources import play_log as pl, readers, sinks
+from tallyfold.sources import bucketed, file_versions, play_log as pl, readers, sinks
 
 COLS = [f.name for f in readers.PLAY_SCHEMA.fields]
 ROW = "SELECT id, hand_id, session_id, strftime(date_utc,'%Y-%m-%d %H:%M:%S') AS at, hero_position, hero_stack_start, big_blind, m_ratio, hero_vpip, hero_pfr, hero_result, won_cents FROM b_hands"
@@ -175,6 +175,51 @@ def _(t):
     return sinks.replace_children(old, acts, "hand_id").groupBy("actor_id", "action_type").agg(F.count("*").alias("n"))
 
 
+# ---- upserts that rewrite only the buckets they touch ----
+
+BUCKETS = 32
+
+
+@query("k06_bucketed_upsert", "K6 K5", sql="""SELECT coalesce(o.o_orderkey,n.k) AS key, coalesce(o.o_orderstatus,'NEW') AS status, CASE WHEN n.k IS NOT NULL THEN n.q ELSE o.o_totalprice END AS total
+ FROM (SELECT * FROM orders WHERE o_orderkey%3=0) o FULL JOIN (SELECT l_orderkey AS k, CAST(SUM(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS q FROM lineitem GROUP BY 1) n ON o.o_orderkey=n.k""")
+def _(t):
+    path = scratch_path(t.spark, "bucketed")
+    bucketed.create(t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")), path, ["key"], BUCKETS)
+    new = t.lineitem.groupBy(F.col("l_orderkey").alias("key")).agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("total")).withColumn("status", F.lit("NEW"))
+    bucketed.upsert(t.spark, path, new, ["total"])
+    return bucketed.read(t.spark, path)
+
+
+@query("b08_bucketed_backfill", "B8 K7 S4", uses="", ctes=LINES, sql="SELECT actor AS actor_id, CASE WHEN event_id%2=0 THEN v ELSE 'OLD' END AS action_type, COUNT(*) AS n FROM la WHERE event_id%6<>0 GROUP BY 1,2")
+def _(t):
+    """Stored actions of all records; a backfill brings half of them again, a third of those without any action."""
+    files = readers.record_blocks(t.spark, write_logs(t))
+    b = pl.split_blocks(files).withColumn("hand_id", F.regexp_extract("raw", r"Game Hand #(\d+)", 1))
+    acts = pl.block_actions(b, "hand_id")
+    path = scratch_path(t.spark, "bucketed-actions")
+    bucketed.create(acts.withColumn("action_type", F.lit("OLD")), path, ["hand_id"], BUCKETS)
+    even = F.col("hand_id").cast("long") % 2 == 0
+    none = F.col("hand_id").cast("long") % 6 == 0
+    bucketed.replace_children(t.spark, path, acts.where(even & ~none), b.where(none))
+    return bucketed.read(t.spark, path).groupBy("actor_id", "action_type").agg(F.count("*").alias("n"))
+
+
+@query("r01_file_versions", "R1 S10 K6 K7", uses="", ctes=LINES, sql="""SELECT actor_id, action_type, COUNT(*) AS n FROM (SELECT actor AS actor_id, CASE WHEN actor='Cid' AND event_id%5=0 THEN 'CHECK' ELSE v END AS action_type FROM la WHERE event_id%3<>0
+ UNION ALL SELECT unnest(['Ana','Hero','Rui']), unnest(['CALL','RAISE','FOLD']) FROM events WHERE event_id%3=0) GROUP BY 1,2""")
+def _(t):
+    """Logs of both dialects are read; then a fifth of the records of one come again in changed form."""
+    path, base = scratch_path(t.spark, "log-folder"), scratch_path(t.spark, "log-tables")
+    own = t.blocks.select(F.concat("raw", F.lit("\n\n")).alias("value"), F.col("block_id").alias("n"))
+    other = t.events.where("event_id % 3 = 0").select(F.concat(
+        F.lit("M\u00e3o PokerStars #"), F.col("event_id"), F.lit(": Torneio #"), F.col("user_id"), F.lit("\nAna: iguala $200\nHero: aumenta $200 para $600\n*** FLOP *** [Ah]\nRui: desiste\n*** RESUMO ***\nAna: aposta $9\n\n")).alias("value"))
+    own.where("n % 3 <> 0").select("value").write.text(f"{path}/acr")
+    other.write.text(f"{path}/ps")
+    file_versions.poll(t.spark, path, "Hero", base)
+    own.where("n % 3 <> 0 AND n % 5 = 0").select(F.replace("value", F.lit("Cid folds"), F.lit("Cid checks")).alias("value")).write.text(f"{path}/again")
+    file_versions.poll(t.spark, path, "Hero", base)
+    return file_versions.ingested(t.spark, base).actions.groupBy("actor_id", "action_type").agg(F.count("*").alias("n"))
+
+
 @query("p23_row_isolation", "P23", uses="blocks", sql="SELECT CASE WHEN event_id%41=0 THEN 'quarantine' ELSE 'good' END AS kind, COUNT(*) AS n FROM events GROUP BY 1")
 def _(t):
     files = t.blocks.select(F.col("raw").alias("value"), "block_id")

@@ -6,7 +6,7 @@ from tallyfold.catalog import decisions as cd, ingest as ci, operators as co
 from tallyfold.catalog.registry import query
 from tallyfold.sources import bindings
 from tallyfold.session import scratch_path
-from tallyfold.streaming import bounded, drains, play as sp
+from tallyfold.streaming import bounded, drains, play as sp, settings
 
 
 def events(t):
@@ -107,15 +107,18 @@ def _(t):
 LATENESS = "2 days"
 
 
-def landed(t):
+def landed_events(t):
     """The events as they land: shares of eight days each, one after the other, with displaced rows."""
     path = scratch_path(t.spark, "landed")
     day = F.dayofmonth("ts")
     share = F.least(F.lit(3), F.floor((day - 1) / 8) + F.when(F.col("event_id") % 10 == 0, 1 + F.col("event_id") % 2).otherwise(0))
     for k in range(4):
         t.events.where(share == k).write.mode("append").parquet(path)
-    d = drains.files(t.spark, path, t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema, per_batch=4)
-    return d.selectExpr(*[f"{e} AS {n}" for n, e in bindings.HANDS]).withColumn("at", F.col("date_utc").cast("timestamp"))
+    return drains.files(t.spark, path, t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema, per_batch=4)
+
+
+def landed(t):
+    return landed_events(t).selectExpr(*[f"{e} AS {n}" for n, e in bindings.HANDS]).withColumn("at", F.col("date_utc").cast("timestamp"))
 
 
 @query("r01_bounded_ingest", "R1 R9 K5", uses="hands", sql="SELECT id, hand_id, won_cents FROM b_hands")
@@ -142,3 +145,9 @@ def _(t):
 def _(t):
     b = bounded.windowed(landed(t).select("won_cents", "at"), "at", LATENESS, {"hands": F.lit(1), "net_cents": F.col("won_cents")}, "7 days", "1 day")
     return b.rows.select(F.date_format("start", "yyyy-MM-dd").alias("from_date"), "hands", "net_cents")
+
+
+@query("r04_bounded_settings", "R4 R3", uses="requests", ctes=cd.CTXSQL, sql=f"SELECT request_id, {cd.CARRY.format(c='bb0')} AS bb, {cd.CARRY.format(c='ante0')} AS ante, {cd.CARRY.format(c='open0')} AS open_mult FROM sv")
+def _(t):
+    rows = t.spark.sql(bindings._bind(bindings.REQUESTS, ["events"]), events=landed_events(t))
+    return settings.with_settings(rows, LATENESS).rows.select("request_id", "bb", "ante", "open_mult")

@@ -43,7 +43,7 @@ def upsert(target: DataFrame, new: DataFrame, key: Sequence[str], update: Sequen
     ``new`` must hold one row per key.
     """
     keys = list(key)
-    n = new.withColumnRenamed("_in", "_in").withColumn("_new", F.lit(True))
+    n = new.withColumn("_new", F.lit(True))
     o = target.withColumn("_old", F.lit(True))
     rest = [c for c in target.columns if c not in keys]
     j = o.join(n.select(*keys, "_new", *[F.col(c).alias(f"_n_{c}") for c in rest if c in new.columns]), keys, "full")
