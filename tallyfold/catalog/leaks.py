@@ -21,13 +21,14 @@ def s6(*cols):
 
 
 def prepared(t, keep=()):
-    spots = t.spots
+    """Prepared play for plans that read it once."""
+    spots = lk.deduped(t.spots)
     return lk.prepare(spots, lk.cluster_by_rule(lk.opponent_rates(spots)), keep)
 
 
 def detections(t):
     """All detections, a few hundred rows, written once for everything that reads them."""
-    return written(lk.detect(prepared(t)), "detections")
+    return written(lk.detect(lk.prepare_once(t.spots)), "detections")
 
 
 def chain(t):
@@ -73,9 +74,9 @@ def _det(codes=None):
     def run(t):
         if codes:
             rules = [r for r in lk.RULES if r[2] in codes]
-            d = lk.detect(prepared(t), rules=rules, sizing="OVERBETTING" in codes, tilt="TILT_PATTERN" in codes)
+            d = lk.detect(lk.prepare_once(t.spots), rules=rules, sizing="OVERBETTING" in codes, tilt="TILT_PATTERN" in codes)
         else:
-            d = lk.ordered(lk.detect(prepared(t)))
+            d = lk.ordered(lk.detect(lk.prepare_once(t.spots)))
         return d.select(*DET_COLS, *r6(*DET_NUM), F.size("evidence").alias("evidence_n"))
 
     return run
@@ -97,6 +98,36 @@ FAMILIES = {
 for _name, (_ids, _codes) in FAMILIES.items():
     query(f"{_name}_detections", _ids, uses="spots", ctes=q.DETECT, sql=DET_SQL + " WHERE leak_code IN (" + ", ".join(f"'{x}'" for x in _codes) + ")")(_det(_codes))
 
+def reingested(t):
+    """Every hand, and for half of them an older copy from the same site with another result and line."""
+    older = t.spots.where("id % 2 = 0").withColumns({
+        "date_utc": F.expr("date_utc - INTERVAL 1 DAY"), "won_cents": F.lit(-99_999).cast(t.spots.schema["won_cents"].dataType), "hero_action_preflop": F.lit("raises 900"),
+        "site_name": F.lower("site_name"), "id": F.col("id") + 10_000_000_000,
+    })
+    return t.spots.unionByName(older)
+
+
+CHECKED = ["hero_stack_start", "big_blind", "ante", "hero_vpip", "hero_pfr", "won_cents", "m_ratio"]
+VALID = f"""vi AS (SELECT COUNT(*) FILTER (WHERE hero_stack_start<=0 OR big_blind<=0 OR hero_stack_start IS NULL OR big_blind IS NULL) > 0 AS bad_stack,
+ (COUNT(*) FILTER (WHERE hero_vpip NOT BETWEEN 0 AND 1 OR hero_pfr NOT BETWEEN 0 AND 1) > 0)::INT + (COUNT(*) < 20)::INT + {" + ".join(f"(COUNT(*) > COUNT({c}))::INT" for c in CHECKED)} AS warnings FROM b_spots)"""
+
+
+@query("b01_validated_detections", "B1 B3 W1 A26", uses="spots", ctes=f"{q.DETECT},\n{VALID}", sql=DET_SQL.replace(" FROM det", ", NOT bad_stack AS validation_ok, CAST(warnings + bad_stack::INT AS BIGINT) AS validation_issues FROM det, vi"))
+def _(t):
+    det, _ = lk.validated(reingested(t))
+    return det.select(*DET_COLS, *r6(*DET_NUM), F.size("evidence").alias("evidence_n"), "validation_ok", "validation_issues")
+
+
+@query("l07_sizing_columns", "L7 A16", uses="spots", ctes=f"{q.PREP}, sizes AS (SELECT id, amount_bb, went_to_showdown, unnest([struct_pack(c := 'bet_size', v := bet_size::DOUBLE), struct_pack(c := 'raise_size', v := ((id * 17) % 300)::DOUBLE), struct_pack(c := 'river_sizing_bb', v := (CASE WHEN id % 9 < 3 THEN 10 + id % 5 END)::DOUBLE)], recursive := true) FROM prep), sq AS (SELECT c, quantile_cont(v, 0.9) AS q90 FROM sizes GROUP BY c)",
+       sql="""SELECT 'OVERBETTING' AS leak_code, c AS size_column, ROUND(AVG(CASE WHEN v > q90 THEN 1.0::DOUBLE ELSE 0 END)+1e-9::DOUBLE, 6) AS metric, COUNT(v) AS sample_size, ROUND(SUM(amount_bb) FILTER (WHERE v IS NOT NULL)+1e-9::DOUBLE, 6) AS ev_real,
+ first(id ORDER BY amount_bb, id) FILTER (WHERE v IS NOT NULL) AS hand_id FROM sizes JOIN sq USING (c) GROUP BY c HAVING AVG(CASE WHEN v > q90 THEN 1.0::DOUBLE ELSE 0 END) > 0.05""")
+def _(t):
+    """Every sizing column of the input, each with its own percentile."""
+    hands = t.spots.withColumns({"raise_size": F.expr("(id * 17) % 300"), "river_sizing_bb": F.expr("CASE WHEN id % 9 < 3 THEN 10 + id % 5 END")})
+    found = lk.sizing_shares(lk.prepare_once(hands)).where("ratio > 0.05")
+    return found.select(F.lit("OVERBETTING").alias("leak_code"), F.col("size_name").alias("size_column"), F.round(F.col("ratio") + 1e-9, 6).alias("metric"), F.col("n").alias("sample_size"), F.round(F.col("ev_real") + 1e-9, 6).alias("ev_real"), F.col("rep.row.id").alias("hand_id"))
+
+
 query("l11_all_detections", "L11 M9 M10 D6 C1 C2 P8", uses="spots", ctes=q.DETECT, sql=DET_SQL)(_det())
 
 CTX_NUM = ["confidence", "total_ev_lost", "avg_loss_per_hand", "ev_expected", "ev_real", "ev_delta", "vop_deviation"]

@@ -92,7 +92,7 @@ def _(t):
  ROUND(ABS(villain_vpip-0.25::DOUBLE)/0.25::DOUBLE,6) AS vop, CASE WHEN went_to_showdown=0 THEN 'range_bridge' ELSE 'insufficient_context' END AS source,
  CASE WHEN went_to_showdown=0 THEN ROUND(({q.RANGE_BASE.replace('rep.opp', 'opponent_type').replace('rep.line', 'line_type')})+{q.case(q.summary('stack_bb'), fv.RANGE_EV_STACK, 0.0)},6) END AS expected_ev FROM prep WHERE villain_vpip IS NOT NULL""")
 def _(t):
-    p = prepared(t).join(t.spots.select("id", "villain_vpip").where("villain_vpip IS NOT NULL"), "id")
+    p = prepared(t, keep=["villain_vpip"]).where("villain_vpip IS NOT NULL")
     e = play.expected_value("showdown", "hero_cards", "opponent_type", "line_type", "stack_bb", "amount", "big_blind")
     return p.select("id", F.round(play.bubble_factor("stack_bb", "phase"), 6).alias("bubble"), F.round(play.participation_deviation("villain_vpip", F.lit(0.25)), 6).alias("vop"), e["source"].alias("source"), F.round(e["expected_ev"], 6).alias("expected_ev"))
 
@@ -274,7 +274,7 @@ def _(t):
     w = written(weekly.with_week(t.spots), "weeks")
     from tallyfold.plans import leaks as lk
 
-    p = written(lk.prepare(w, lk.cluster_by_rule(lk.opponent_rates(t.spots)), keep=["hand_date"]), "prepared")
+    p = lk.prepare_once(w, keep=["hand_date"])
     s = weekly.series(weekly.error_counts(p, "hand_date"), w)
     return s.select(F.date_format("hand_date", "yyyy-MM-dd").alias("date"), "week_label", "technical_errors", "icm_errors")
 
@@ -294,7 +294,7 @@ def _(t):
     from tallyfold.plans import leaks as lk
 
     w = written(weekly.with_week(t.spots), "weeks")
-    return weekly.report(w, written(lk.prepare(w, lk.cluster_by_rule(lk.opponent_rates(w)), keep=["week_label"]), "prepared"))
+    return weekly.report(w, lk.prepare_once(w, keep=["week_label"]))
 
 
 @query("a52_tilt_note", "A52 S8", sql="SELECT 'Disciplina de Tilt: ' || CASE WHEN a<15 THEN 'Excelente' WHEN a<30 THEN 'Moderada' ELSE 'Critica' END || ' (media ' || printf('%.1f', a) || '%).' AS note FROM (SELECT AVG(value) AS a FROM events WHERE ts>=TIMESTAMP '2024-01-24 00:00:00')")

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyfold.functions import cards, fixed_values as fv, play
 from tallyfold.functions.numeric import clamp, count_where, finite, fixed, rate
-from tallyfold.operators import streaks
+from tallyfold.operators import dedupe, quality, streaks
 from tallyfold.operators.scan import exact_quantiles
+from tallyfold.session import written
 
 VILLAIN = ["villain_vpip", "villain_pfr", "villain_aggression", "villain_fold_to_3bet", "villain_wtsd"]
 OPPONENT_KEYS = ["villain_id", "opponent_id", "villain_name", "opponent_name"]
@@ -46,14 +47,53 @@ def opponent_rates(spots: DataFrame) -> DataFrame:
     )
 
 
+def prepared_rates(prep: DataFrame) -> DataFrame:
+    """``opponent_rates`` of the hands that ``open_prepared`` was made from, without reading them again."""
+    pf = F.col("pf")
+    return prep.groupBy(F.coalesce("_okey", F.lit("unknown")).alias("opponent_key")).agg(
+        F.count("*").alias("samples"),
+        rate(pf.rlike("RAISE|3BET|4BET|ALL-IN|BET")).alias("aggression_rate"),
+        rate(pf.rlike("CALL|FLAT")).alias("call_rate"),
+        rate(pf.contains("FOLD")).alias("fold_rate"),
+        rate(F.col("flop").contains("BET")).alias("cbet_rate"),
+    )
+
+
 def cluster_by_rule(rates: DataFrame) -> DataFrame:
     name = F.when(F.col("aggression_rate") >= 0.45, "Aggro").when(F.col("call_rate") >= 0.35, "Station").otherwise("Passive")
     return rates.withColumn("opponent_cluster", name)
 
 
+#: A column is a sizing column if its name has one of these.
+SIZING_NAMES = ("bet_size", "raise_size", "sizing", "amount_bet")
+
+
+def sizing_columns(hands: DataFrame) -> list[str]:
+    return [c for c in hands.columns if any(k in c.lower() for k in SIZING_NAMES)]
+
+
+def deduped(hands: DataFrame) -> DataFrame:
+    """One row per hand and site, the last by time; hands without an id column stay as they are."""
+    if "hand_id" not in hands.columns:
+        return hands
+    return dedupe.keep_latest_per_site(hands if "site_name" in hands.columns else hands.withColumn("site_name", F.lit("UNKNOWN")))
+
+
 def prepare(hands: DataFrame, clusters: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Derived columns every detector reads. ``clusters`` maps opponent_key to a cluster name;
     without it each row's cluster follows from the inferred opponent type."""
+    return with_clusters(open_prepared(hands, keep), clusters)
+
+
+def prepare_once(hands: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Deduplicated hands prepared and written, with clusters by rule: the one pass over play that all detectors share."""
+    one = written(open_prepared(deduped(hands), keep), "prepared")
+    return with_clusters(one, cluster_by_rule(prepared_rates(one)) if "_okey" in one.columns else None)
+
+
+def open_prepared(hands: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``prepare`` before clusters are known; ``_okey`` is the opponent where the input names one."""
+    sizes = [F.struct(F.lit(c).alias("size_name"), F.col(c).try_cast("double").alias("size")) for c in sizing_columns(hands)]
     # Columns read many times below are projected first, so each is built once per row and the
     # generated code stays small.
     one = hands.select(
@@ -68,14 +108,14 @@ def prepare(hands: DataFrame, clusters: DataFrame | None = None, keep: Sequence[
         cards.parse_board("board_flop").alias("_cards"),
         play.action_list().alias("_acts"),
         _or(hands, "decision_time_ms", None, "double").cast("double").alias("decision_ms"),
-        _or(hands, "bet_size", None, "double").cast("double").alias("bet_size"),
+        (F.array(*sizes) if sizes else F.array().cast("array<struct<size_name:string,size:double>>")).alias("sizes"),
         *[F.col(k).cast("string").alias("_okey") for k in OPPONENT_KEYS[:1] if k in hands.columns],
         _or(hands, "hero_name", "UNKNOWN").alias("hero_name"),
     )
     one = one.withColumns({"_ranks": cards.ranks_of(F.col("_cards")), "_suits": cards.suits_of(F.col("_cards"))})
-    out = one.select(
+    return one.select(
         *keep, "id", "date_utc", "vpip", "pfr", "showdown", "stack_bb", "amount_bb", "hero_stack_start", "big_blind", "hero_cards", "amount",
-        "pf", "flop", "turn", "river", "decision_ms", "bet_size", "hero_name", *([F.col("_okey")] if "_okey" in one.columns else []),
+        "pf", "flop", "turn", "river", "decision_ms", "sizes", "hero_name", *([F.col("_okey")] if "_okey" in one.columns else []),
         F.expr(play.seat_sql("hero_position")).alias("position"),
         play.phase("m_ratio", "_phase").alias("phase"),
         cards.texture_from(F.size("_cards"), F.col("_ranks"), F.col("_suits"), cards.rank_places(F.col("_ranks"))).alias("board_texture"),
@@ -86,6 +126,9 @@ def prepare(hands: DataFrame, clusters: DataFrame | None = None, keep: Sequence[
         F.expr(play.band_sql("stack_bb", 0)).alias("stack_depth_bucket"),
         F.expr(play.band_sql("stack_bb", 1)).alias("stack_bucket"),
     )
+
+
+def with_clusters(out: DataFrame, clusters: DataFrame | None) -> DataFrame:
     if clusters is not None and "_okey" in out.columns:
         out = out.withColumn("opponent_key", F.coalesce("_okey", "opponent_type"))
         out = out.join(clusters.select("opponent_key", "opponent_cluster"), "opponent_key", "left").drop("opponent_key")
@@ -303,6 +346,8 @@ def _evidence(items) -> str:
     for it in items:
         if isinstance(it, str):
             out.append("concat('complex_spot=', by)" if it == "complex_spot" else f"'{it}'")
+        elif len(it) == 3:  # the name starts with a column's value
+            out.append(f"concat({it[0]}, '{it[1]}=', format_string('%.2f', bround({it[2]}, 2)))")
         else:
             d = 0 if it[0] == "decision_ms_median" else 2
             out.append(f"concat('{it[0]}=', format_string('%.{d}f', bround({it[1]}, {d})))")
@@ -357,6 +402,19 @@ def detect(prep: DataFrame, extra: Sequence[str] = (), rules=RULES, sizing: bool
     return out
 
 
+def validated(hands: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The whole first half of the report chain: (detections, validation issues).
+
+    Hands are deduplicated, then validated and searched. Detections carry ``validation_ok`` and ``validation_issues``, so a report
+    shows whether its input could be trusted; nothing is held back.
+    """
+    one = deduped(hands)
+    found = written(quality.issues(one), "validation")
+    det = detect(prepare_once(hands, keep))
+    ok = quality.is_ok(found)
+    return det.withColumns({"validation_ok": ok.select("ok").scalar(), "validation_issues": ok.select("issues").scalar()}), found
+
+
 def tilt_detection(prep: DataFrame) -> DataFrame:
     """The play-style shift after losing runs as a detection (at most one row), with its worst run's first hand as example."""
     f = F.col
@@ -379,21 +437,29 @@ def tilt_detection(prep: DataFrame) -> DataFrame:
     )
 
 
-def sizing_detection(prep: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Share of sizes above their own 90th percentile; rows with no size lower the share."""
-    extra = list(extra)
-    q = exact_quantiles(prep, extra, F.col("bet_size"), {"q90": 0.9})
-    marked = prep.join(q, extra) if extra else prep.withColumn("q90", q.scalar())
-    g = marked.groupBy(*extra).agg(
-        F.expr("avg(IF(bet_size > q90, 1D, 0D))").alias("ratio"),
-        F.expr("count(bet_size)").alias("n"),
-        F.expr("sum(IF(bet_size IS NOT NULL, amount_bb, NULL))").alias("ev_real"),
-        F.expr("avg(IF(bet_size IS NOT NULL, showdown, NULL))").alias("showdown_rate"),
-        _rep_min("rep", "bet_size IS NOT NULL"),
+def sizing_shares(prep: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """For every sizing column, the share of sizes above their own 90th percentile; rows with no size lower the share.
+
+    All columns are unpivoted into (name, size), so their quantiles are one scan, whatever their number.
+    """
+    keys = [*extra, "size_name"]
+    each = prep.select(*[c for c in prep.columns if c != "sizes"], F.inline("sizes"))
+    q = exact_quantiles(each.select(*keys, "size"), keys, F.col("size"), {"q90": 0.9})
+    return each.join(q, keys).groupBy(*keys).agg(
+        F.expr("avg(IF(size > q90, 1D, 0D))").alias("ratio"),
+        F.expr("count(size)").alias("n"),
+        F.expr("sum(IF(size IS NOT NULL, amount_bb, NULL))").alias("ev_real"),
+        F.expr("avg(IF(size IS NOT NULL, showdown, NULL))").alias("showdown_rate"),
+        _rep_min("rep", "size IS NOT NULL"),
     )
+
+
+def sizing_detection(prep: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """A detection for every sizing column with too large a share of large sizes."""
+    g = sizing_shares(prep, extra)
     names = ("stack_bucket", "m_stack_depth_bucket", "m_board_texture", "m_line_type", "position", "phase")
     g = g.withColumns({**{k: F.lit("UNKNOWN") for k in names}, "m_opponent_type": F.lit("unknown"), "grouping": F.lit("all"), "rep": F.col("rep.row")})
-    rule = ("all", "ratio > 0.10D", "OVERBETTING", "ratio", "0.05D", 0.45, fv.MIN_SAMPLE, [("bet_size high frequency", "ratio")], {})
+    rule = ("all", "ratio > 0.10D", "OVERBETTING", "ratio", "0.05D", 0.45, fv.MIN_SAMPLE, [("size_name", " high frequency", "ratio")], {})
     return g.select(*extra, "position", "phase", F.expr(f"explode(array_compact(array({compile_rule(rule)})))").alias("d")).select(*extra, "position", "phase", "d.*")
 
 
