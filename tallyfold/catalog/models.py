@@ -4,11 +4,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tallyfold.catalog import ingest as ci
 from tallyfold.catalog.accounts import PROFILE, features
 from tallyfold.catalog.registry import query
 from tallyfold.functions import fixed_values as fv
 from tallyfold.plans import decisions as dc, leaks as lk, models as md
 from tallyfold.session import scratch_path
+from tallyfold.sources import play_log as pl
 
 AS_OF = dt.date(2024, 1, 31)
 
@@ -49,6 +51,24 @@ def _(t):
     return t.spark.createDataFrame([(i, a) for i, a in enumerate(auc)], "setting int, auc double")
 
 
+@query("f13_cross_validated_values", "F13 F9")
+def _(t):
+    """Five folds by session: mean absolute error and F1, which must not fall behind a constant answer by more than a tenth."""
+    rows = md.cross_validated_values(dc.model_features(t.spots, "session_id"), "session_id")
+    ok = {"mae": lambda r: r["mean"] <= 1.1 * r["constant"], "f1": lambda r: r["mean"] >= 0.0}
+    return t.spark.createDataFrame([(*r.values(), bool(ok[r["metric"]](r))) for r in rows], "metric string, mean double, std double, constant double, folds int, passes boolean")
+
+
+@query("f08_seen_before_acting", "F8 P20", uses="", ctes=ci.LINES, sql="""SELECT CAST(event_id AS VARCHAR) AS hand_id, CAST(v='CALL' AS BIGINT) AS limpers, CASE WHEN v='RAISE' THEN ROUND(amt/(100*(1+event_id%4)),6) ELSE 0.0 END AS open_size_bb, v='RAISE' AS is_3bet_spot
+ FROM la WHERE actor='Hero' AND street='PREFLOP'""")
+def _(t):
+    """What the third player of a logged hand had seen: the second one's call or raise."""
+    blocks = pl.split_blocks(t.blocks.select(F.col("raw").alias("value"), "file_name")).withColumn("hand_id", F.regexp_extract("raw", r"Game Hand #(\d+)", 1))
+    blinds = blocks.select("hand_id", F.regexp_extract("raw", r"\(\d+\.?\d*/(\d+\.?\d*)\)", 1).alias("big_blind"))
+    d = dc.before_acting(pl.block_actions(blocks, "hand_id"), "Ann", blinds, "hand_id")
+    return d.select("hand_id", "limpers", F.round("open_size_bb", 6).alias("open_size_bb"), "is_3bet_spot")
+
+
 @query("f05_opponent_clusters", "F5")
 def _(t):
     return md.cluster_opponents(lk.opponent_rates(t.spots)).select("opponent_key", "samples", "opponent_cluster_id", "opponent_cluster")

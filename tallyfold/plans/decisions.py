@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyfold.functions import cards, fixed_values as fv, play
 from tallyfold.functions.numeric import count_where, ratio
@@ -145,7 +145,26 @@ def costliest_mistakes(m: DataFrame, n: int = 15) -> DataFrame:
     return m.orderBy("won_cents", "id").limit(n)
 
 
-def model_features(hands: DataFrame) -> DataFrame:
+def before_acting(actions: DataFrame, actor: str, big_blind: DataFrame, key: str = "record") -> DataFrame:
+    """(key, limpers, open_size_bb, is_3bet_spot): what the actor of a record had seen before acting for the first time.
+
+    ``actions`` has key, action_order, street, actor_id, action_type, amount; ``big_blind`` has key and big_blind. Callers before any
+    raise are limpers; the first raise gives the open size. Records in which the actor doesn't act before the flop have no row.
+    """
+    f = F.col
+    pre = actions.where("street = 'PREFLOP'")
+    whole = Window.partitionBy(key)  # one record's actions
+    mine = F.min(F.when(f("actor_id") == actor, f("action_order"))).over(whole)
+    seen = pre.withColumn("_mine", mine).where(f("_mine").isNotNull() & (f("action_order") <= f("_mine")))
+    raised = f("action_type").isin("RAISE", "BET") & (f("action_order") < f("_mine"))
+    seen = seen.withColumn("_first", F.min(F.when(raised, f("action_order"))).over(whole))
+    limped = (f("action_type") == "CALL") & (f("action_order") < F.coalesce(F.least("_mine", "_first"), "_mine"))
+    one = seen.groupBy(key).agg(F.count(F.when(limped, 1)).alias("limpers"), F.max(F.when(f("action_order") == f("_first"), f("amount"))).alias("_open"), F.coalesce(F.max(F.when(raised, True)), F.lit(False)).alias("is_3bet_spot"))
+    met = one.join(big_blind.select(key, f("big_blind").cast("double").alias("_bb")), key, "left")
+    return met.select(key, "limpers", F.coalesce(F.try_divide("_open", F.nullif("_bb", F.lit(0.0))), F.lit(0.0)).alias("open_size_bb"), "is_3bet_spot")
+
+
+def model_features(hands: DataFrame, *keep: str) -> DataFrame:
     """Numeric encodings of a play row for the value models."""
     f = F.col
     order = {s: i for i, s in enumerate(fv.FEATURE_SEATS)}
@@ -155,7 +174,7 @@ def model_features(hands: DataFrame) -> DataFrame:
     tex = cards.board_texture_code("board_flop")
     players = F.least(F.greatest(F.coalesce(f("num_players"), F.lit(6)), F.lit(2)), F.lit(9))
     return hands.select(
-        "id",
+        "id", *keep,
         lookup(f("hero_position"), order, 4).alias("position_ord"),
         *[(f("hero_position") == s).cast("int").alias(f"pos_{s}") for s in fv.ONE_HOT_SEATS],
         F.when(ratio_.isNull(), 1).when(ratio_ < 20, 0).when(ratio_ < 50, 1).otherwise(2).alias("stack_zone"),

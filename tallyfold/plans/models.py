@@ -104,10 +104,15 @@ POLICY_NUMERIC = ["stack_bb", "pot_bb_before", "num_players", "limpers", "open_s
 POLICY_TEXT = ["hand", "position", "street", "board_texture"]
 
 
-def policy_rows(hands: DataFrame) -> DataFrame:
-    """Ex-ante rows: only what is known before acting, labelled by the action taken."""
+def policy_rows(hands: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Ex-ante rows: only what is known before acting, labelled by the action taken.
+
+    ``seen`` has id, limpers, open_size_bb and is_3bet_spot, as ``decisions.before_acting`` folds them from action rows.
+    """
     from tallyfold.functions import cards, play
 
+    if seen is not None:
+        hands = hands.drop("limpers", "open_size_bb", "is_3bet_spot").join(seen.select("id", "limpers", "open_size_bb", "is_3bet_spot"), "id", "left")
     f = F.col
     bb = f("big_blind").cast("double")
     given = lambda name: F.coalesce(f(name).cast("double"), F.lit(0.0)) if name in hands.columns else F.lit(0.0)
@@ -207,6 +212,29 @@ def cross_validated(df: DataFrame, names: list[str], label: str, folds: int = 3)
     return [float(x) for x in cv.fit(aligned(df, list(names))).avgMetrics]
 
 
+def cross_validated_values(features: DataFrame, key: str, folds: int = 5, trees: int = 10, depth: int = 3) -> list[dict]:
+    """MAE of the value regressor and F1 of the win classifier over folds by ``key``, beside those of the best constant answer.
+
+    Rows of one key (a session) stay in one fold, so play of a session never predicts itself.
+    """
+    rows = features.withColumn("target_amount", F.col("target_amount").cast("double")).withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(folds)).cast("int"))
+    rows = written(aligned(rows, VALUE_FEATURES).select("fold", "target_amount", "target_win", *VALUE_FEATURES), "folds")
+    vec = VectorAssembler(inputCols=VALUE_FEATURES, outputCol="features")
+    wins = MulticlassClassificationEvaluator(labelCol="target_win", metricName="fMeasureByLabel", metricLabel=1.0)
+    jobs = [
+        ("mae", GBTRegressor(labelCol="target_amount", maxIter=trees, maxDepth=depth, seed=42), RegressionEvaluator(labelCol="target_amount", metricName="mae")),
+        ("f1", RandomForestClassifier(labelCol="target_win", numTrees=trees, maxDepth=depth, seed=42), wins),
+    ]
+    middle = rows.agg(F.percentile_approx("target_amount", 0.5).alias("m"))
+    constant = rows.agg(F.avg(F.abs(F.col("target_amount") - middle.scalar())).alias("mae"), F.avg("target_win").alias("share")).first()
+    floors = {"mae": float(constant["mae"]), "f1": float(2 * constant["share"] / (1 + constant["share"]))}  # F1 of always answering win
+    out = []
+    for name, model, evaluator in jobs:
+        cv = CrossValidator(estimator=Pipeline(stages=[vec, model]), estimatorParamMaps=[{}], evaluator=evaluator, numFolds=folds, foldCol="fold").fit(rows)
+        out.append({"metric": name, "mean": float(cv.avgMetrics[0]), "std": float(cv.stdMetrics[0]), "constant": floors[name], "folds": folds})
+    return out
+
+
 RATES = ["aggression_rate", "call_rate", "fold_rate", "cbet_rate"]
 
 
