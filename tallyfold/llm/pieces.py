@@ -16,15 +16,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import filterfalse
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyfold.llm.common import map_stream
 
 SPACE = "▁"
-KEPT = 150_000  # units that a worker remembers, twice: what the older half holds comes over when it is met
+KEPT = 400_000  # units that a worker remembers, twice: what the older half holds comes over when it is met
 SHORT = 64  # characters that are merged without a heap
 NEVER = float("-inf")
 
@@ -54,8 +56,10 @@ class Pieces:
         self.automaton.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[str, ...]] = {}
-        self.parts: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.kind = "<u2" if model.get_piece_size() <= 1 << 16 else "<u4"
+        self.names = [str(i) for i in range(model.get_piece_size())]
 
     # --- encoding ---
 
@@ -164,17 +168,18 @@ class Pieces:
                     spaces, out = spaces + 1, out[1:]
         return [*self._piece(SPACE * spaces), *out] if spaces else out
 
-    def _part(self, unit: str) -> tuple[str, int, str]:
-        """(",id,id...", number of ids, decoded text) of a unit."""
+    def _part(self, unit: str) -> bytes:
+        """The packed ids of a unit."""
         ids: list[int] = []
         for p in self._unit(unit):
             i = self.ids.get(p)
             ids += (i,) if i is not None else map(self.bytes.__getitem__, p.encode())
-        return "".join(f",{i}" for i in ids), len(ids), self.decoded(ids)
+        return np.array(ids, self.kind).tobytes()
 
-    def _parts(self, text: str) -> list[tuple[str, int, str]]:
-        if len(self.parts) > KEPT:
-            self.older, self.parts = self.parts, {}
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a whole text, packed; null and the empty text have none."""
+        if not text:
+            return b""
         words = text.replace(SPACE, " ").split(" ")
         if not all(words):  # several spaces in a row, or at an end: they go to the word behind them
             units, n = [], 0
@@ -185,17 +190,16 @@ class Pieces:
                     n = 0
             units.append(" " * (n + 1) + words[-1])
             words = units
-        parts, older, out = self.parts, self.older, []
-        for w in words:
-            got = parts.get(w)
-            if got is None:
-                got = parts[w] = older.get(w) or self._part(w.replace(" ", SPACE) if w[0] == " " else SPACE + w)
-            out.append(got)
-        return out
+        if len(self.parts) > KEPT:
+            self.older, self.parts = self.parts, {}
+        parts, older = self.parts, self.older
+        for w in set(filterfalse(parts.__contains__, words)):
+            parts[w] = older.get(w) or self._part(w.replace(" ", SPACE) if w[0] == " " else SPACE + w)
+        return b"".join(map(parts.__getitem__, words))
 
     def encode(self, text: str | None) -> list[int]:
-        """The ids of a whole text; null and the empty text have none."""
-        return [int(i) for s, _, _ in self._parts(text) for i in s[1:].split(",")] if text else []
+        """The ids of a whole text."""
+        return np.frombuffer(self.packed(text), self.kind).tolist()
 
     # --- decoding ---
 
@@ -226,9 +230,9 @@ class Pieces:
         return text[1:] if ids and self.text.get(ids[0], "").startswith(SPACE) else text
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, ids joined by commas, decoded text) of a whole text."""
-        parts = self._parts(text) if text else []
-        return sum(p[1] for p in parts), "".join([p[0] for p in parts])[1:], "".join([p[2] for p in parts])[1:]
+        """(number of ids, ids joined by commas, the text that those ids decode to)."""
+        ids = self.encode(text)
+        return len(ids), ",".join(map(self.names.__getitem__, ids)), self.decode(ids)
 
 
 def _characters(held: bytes | bytearray) -> str:
@@ -285,7 +289,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, encoded and decoded in one pass.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: the whole text is encoded, and its whole ids are decoded.
 
     The hashes are of the ids in decimal joined by commas and of the decoded text in UTF-8. A null or empty text
     has no ids and the hash of nothing; repeated rows stay; an empty table gives no rows; other columns are not read.
