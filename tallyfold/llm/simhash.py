@@ -166,7 +166,7 @@ def forest(fps: np.ndarray, limit: int = LIMIT) -> list[tuple[int, int]]:
     return out
 
 
-def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def _link_runs(batches: Iterator[pa.RecordBatch], limit: int = LIMIT) -> Iterator[dict]:
     """Rows sorted by (key, fp) -> links inside each key's block, and the members of keys that need several blocks."""
 
     def linked(keys: np.ndarray, fps: np.ndarray) -> dict:
@@ -174,10 +174,10 @@ def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         first, last = np.concatenate(([0], edge)), np.concatenate((edge, [len(keys)]))
         size = last - first
         two = first[size == 2]
-        close = bits_apart(fps[two], fps[two + 1]) <= LIMIT
+        close = bits_apart(fps[two], fps[two + 1]) <= limit
         a, b = list(fps[two[close]]), list(fps[two[close] + 1])
         for i in np.flatnonzero(size > 2):
-            pairs = forest(fps[first[i] : last[i]])
+            pairs = forest(fps[first[i] : last[i]], limit)
             a += [p[0] for p in pairs]
             b += [p[1] for p in pairs]
         pairs = np.unique(np.array([a, b], np.int64), axis=1) if a else np.zeros((2, 0), np.int64)
@@ -215,28 +215,30 @@ def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield linked(np.full(len(held), key), held)
 
 
-def _cross_block(group):
+def _cross_block(group, limit: int = LIMIT):
     import pandas as pd
 
-    pairs = forest(group["fp"].drop_duplicates().to_numpy())
+    pairs = forest(group["fp"].drop_duplicates().to_numpy(), limit)
     return pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, columns=["a", "b"]).astype("int64")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b) between distinct fingerprints at most 4 bits apart: enough of them to keep all that is connected together.
+def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(a, b) between distinct fingerprints at most ``limit`` bits apart: enough of them to keep all that is connected together.
+
+    All links up to 4 bits are found; of wider ones those that share a key, fewer the wider they are.
 
     Not every pair is listed: inside a key the links are a spanning forest, so a group of many near copies costs
     one link each. A key with more than ``BLOCK`` fingerprints is cut into blocks, and each pair of blocks is
     compared in its own task.
     """
-    found = map_stream(keyed(fps).repartition("key").sortWithinPartitions("key", "fp"), _link_runs, "a long, b long, block int")
+    found = map_stream(keyed(fps).repartition("key").sortWithinPartitions("key", "fp"), lambda b: _link_runs(b, limit), "a long, b long, block int")
     found = staged(found, "simhash-links")
     wide = found.where("block >= 0").select(F.col("a").alias("key"), F.col("b").alias("fp"), "block")
     blocks = wide.groupBy("key").agg(F.max("block").alias("top"))
     pairs = wide.join(blocks, "key").select(
         "key", "fp", "block", F.explode(F.expr("filter(sequence(0, top), x -> x <> block)")).alias("other")
     )
-    cross = pairs.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInPandas(_cross_block, "a long, b long")
+    cross = pairs.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInPandas(lambda g: _cross_block(g, limit), "a long, b long")
     return found.where("block < 0").select("a", "b").unionAll(cross).distinct()
 
 
@@ -258,27 +260,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     owner = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of every component, the one with the least doc_id (null ids last, ties by the text's hash), with all its columns.
-
-    Rows are told apart by id and text hash, so rows that repeat both count as one. Null, empty and blank texts are one
-    component. What stays is found per component by aggregation and joined with the documents once.
-    """
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    key, th, n = "_simhash_id", "_simhash_text", "_simhash_rows"
-    prints = staged(fingerprints(docs, id_col, text_col, with_hash=True), "simhash")
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    roots = components(links(nodes))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    member = prints.join(rooted, "fp").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text"), "n")
-    first = staged(member.groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.id").alias(key), F.col("f.text").alias(th), F.col("f.n").alias(n)), "simhash-first")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash == F.col(th))
-    single, repeated = first.where(F.col(n) == 1), first.where(F.col(n) > 1)
-    out = docs.join(single, same, "left_semi")
-    if not repeated.limit(1).count():
-        return out
-    copies = docs.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias(key), text_hash.alias(th))
-    return out.unionByName(copies.agg(F.first(F.struct(*docs.columns)).alias("d")).select("d.*"))

@@ -9,8 +9,7 @@ from tallyfold.llm.common import staged
 
 from .conftest import prose
 from .test_decontaminate import brute as hits
-from .test_simhash import brute as components
-from .test_simhash import reference as fingerprint
+from .test_near_copies import brute as first_of_near
 from .test_sites_and_shards import brute_lines
 
 
@@ -28,10 +27,10 @@ def brute(docs, labels, items):
         above = [[sum(1 for x, q in mine if q == v and x > t) for t in quality_rules.LEVELS] for v in (0, 1)]
         level[s] = quality_rules.chosen(above[1], above[0], n[1], n[0], quality_rules.MOST_REJECTED, quality_rules.ERROR / len(strata))
     left = [d for d, x in passed if x <= level.get(d["lang"] or "", quality_rules.NEVER)]
-    texts = brute_lines([(d["source"], d["text"]) for d in left], 0.3, 5)
+    texts = brute_lines([(d["source"], d["text"]) for d in left], 0.02, 5, 4)
     rows = sorted(((d["doc_id"], t) for d, t in zip(left, texts)))
-    comp = components([r[0] for r in rows], [fingerprint(r[1]) for r in rows])
-    rows = [r for r, c in zip(rows, comp) if r[0] == c]
+    stay = set(first_of_near(rows))
+    rows = [r for r in rows if r[0] in stay]
     rows = [r for r, h in zip(rows, hits(rows, items)) if not h[5]]
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()

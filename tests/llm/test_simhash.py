@@ -4,9 +4,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import functions as F
 
 from tallyfold.llm import simhash
+from tallyfold.llm.catalog import QUERIES
 
 from .conftest import prose
 
@@ -115,10 +115,11 @@ def test_odd_rows(odd_docs):
     assert simhash.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
-def test_deduplicated_keeps_one_of_each(odd_docs):
-    kept = simhash.deduplicated(odd_docs)
-    assert kept.columns == odd_docs.columns
-    want = odd_docs.select(F.coalesce(F.trim(F.lower("text")), F.lit("")).alias("t")).distinct().where("trim(t) <> ''").count()
-    assert kept.count() == want + 1 - odd_docs.where("doc_id = 6").count() + 1 - 1
-    assert kept.where("doc_id = 1").count() == 1 and kept.where("doc_id = 2").count() == 0
-    assert simhash.deduplicated(odd_docs.limit(0)).count() == 0
+def test_query_matches_brute_force(spark):
+    """op1 as it is registered, over a whole table."""
+    sf = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in QUERIES["op1_simhash_near_dedup"](spark, sf).collect()}
+    fps = [reference(t) for _, t in docs]
+    want = brute([i for i, _ in docs], fps)
+    assert got == {i: (f"{f:016x}", int(c)) for (i, _), f, c in zip(docs, fps, want)}

@@ -11,11 +11,11 @@ from .conftest import prose
 # --- line dedup ---
 
 
-def brute_lines(rows, ratio, least):
-    """(host, text) -> texts without boilerplate."""
+def brute_lines(rows, ratio, least, words=0):
+    """(host, text) -> texts without boilerplate; lines under ``words`` words stay."""
     pages, holds = Counter(h or "" for h, _ in rows), Counter()
     for h, t in rows:
-        holds.update({(h or "", x) for x in (t or "").split("\n") if x.strip(" ")})
+        holds.update({(h or "", x) for x in (t or "").split("\n") if x.strip(" ") and len(x.split()) >= words})
     bad = {k for k, n in holds.items() if n >= least and n > ratio * pages[k[0]]}
     return [None if t is None else "\n".join(x for x in t.split("\n") if (h or "", x) not in bad) for h, t in rows]
 
