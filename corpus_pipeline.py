@@ -1,6 +1,6 @@
 """The corpus pipeline: documents through five operators of ``tallyfold.llm``, each stage written and read again.
 
-quality rules -> line dedup by site -> near-dedup by five-word Jaccard -> benchmark decontamination -> SentencePiece ids
+quality rules -> line dedup by site -> SimHash near-dedup -> benchmark decontamination -> SentencePiece ids
 
 All stages but the last return the columns of documents (n_chars follows a text that was cut). Every stage works on all
 rows that the one before kept: null and empty texts fail the quality rules, so they end there; repeated rows are near
@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 0.8 or more of their five-word shingles are the same."""
+    """One document of each group of near copies, found by Golay keys of SimHash: 0.8 or more of their five-word shingles are the same."""
     return near_copies.deduplicated(docs)
 
 
