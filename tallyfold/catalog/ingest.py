@@ -72,6 +72,21 @@ def _(t):
     return d.groupBy("conv_id").agg(F.sum(F.size("messages")).alias("messages"))
 
 
+@query("s06_indented_documents", "S6", sql="""SELECT 'document' AS kind, COUNT(*) AS n, CAST(SUM(m) AS BIGINT) AS messages FROM (SELECT conv_id, COUNT(*) AS m FROM conversations GROUP BY 1) WHERE (conv_id//20)%5<>3
+ UNION ALL SELECT 'quarantine', COUNT(DISTINCT conv_id//20), 0 FROM conversations WHERE (conv_id//20)%5=3""")
+def _(t):
+    """Session files of twenty indented documents each; every fifth file breaks off."""
+    path = scratch_path(t.spark, "documents")
+    one = t.conversations.groupBy("conv_id").agg(F.count("*").alias("m"))
+    doc = F.format_string('{\n  "session_id": %d,\n  "counts": {\n    "messages": %d\n  }\n}', "conv_id", "m")
+    files = one.groupBy(F.floor(F.col("conv_id") / 20).alias("file")).agg(F.array_join(F.collect_list(doc), ",\n").alias("docs"))
+    text = F.concat(F.lit("[\n"), "docs", F.when(F.col("file") % 5 == 3, "").otherwise("\n]"))
+    files.select("file", text.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    good, bad = readers.json_documents(t.spark, path, "session_id long, counts struct<messages:long>")
+    good = good.agg(F.lit("document").alias("kind"), F.count("*").alias("n"), F.sum("counts.messages").alias("messages"))
+    return good.unionByName(bad.agg(F.lit("quarantine").alias("kind"), F.count("*").alias("n"), F.lit(0).cast("long").alias("messages")))
+
+
 @query("s08_recent_history", "S8 P7", sql="SELECT event_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-24'")
 def _(t):
     return readers.recent(t.events, "ts", "2024-01-31", 7).select("event_id")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tallyfold.session import written
+
 PLAY_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("hand_id", T.StringType()), T.StructField("session_id", T.LongType()),
     T.StructField("date_utc", T.TimestampType()), T.StructField("hero_position", T.StringType()), T.StructField("hero_stack_start", T.LongType()),
@@ -21,8 +23,18 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).json(path)
 
 
-def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+CORRUPT = "_corrupt_record"
+
+
+def json_documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Indented JSON, one document or one array of documents a file -> (documents, quarantined files).
+
+    Documents have the columns of ``schema`` and file_path. A file that is no valid JSON, or whose documents do not fit, is
+    quarantined as (file_path, text); the others are read all the same. A file is parsed as a whole, so it must fit in a task's memory.
+    """
+    d = spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    d = written(d.select("*", F.col("_metadata.file_path").alias("file_path")), "json-documents")  # parsed once for both sides
+    return d.where(F.col(CORRUPT).isNull()).drop(CORRUPT), d.where(F.col(CORRUPT).isNotNull()).select("file_path", F.col(CORRUPT).alias("text"))
 
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
