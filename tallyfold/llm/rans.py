@@ -19,6 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,12 @@ LANES = 2048
 SEGMENT = 1 << 17  # tokens between checkpoints, a multiple of LANES
 BLOCK = 1 << 19  # tokens after which a block ends with the document at hand
 HEAD, MAGIC = struct.Struct("<4sIQQI"), b"rAN1"
-MOST_IDS = 1 << 16  # tokens of a vocabulary, which bounds the shared table
-KEPT = 200_000  # words whose ids a worker remembers, twice: what the older half holds comes over when it is met
+MOST_IDS = 1 << 16  # tokens of a vocabulary, which bounds the shared table; a larger vocabulary is refused
+KEPT = 600_000  # words whose ids a worker remembers, twice: what the older half holds comes over when it is met
 # fixed values: the tokenizer's word pattern, with its classes of letters and numbers as far as Latin-1 goes
 LETTER, NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+").findall
-ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0]|<\\|").search
+PLAIN = bytes(b for b in range(256) if 0x09 <= b <= 0x0D or 0x20 <= b <= 0x7E or b > 0xA0)  # no control characters
 
 
 # --- coding ---
@@ -153,18 +154,18 @@ class WordEncoder:
         if len(self.words) > KEPT:
             self.older, self.words = self.words, {}
         words, older = self.words, self.older
-        new = set().union(*[ws for ws in split if ws is not None]) - words.keys()
-        for w in new & older.keys():
+        new = set(filterfalse(words.__contains__, chain.from_iterable(ws for ws in split if ws is not None)))
+        for w in filter(older.__contains__, new):
             words[w] = older[w]
-        self._learn(list(new - older.keys()))
+        self._learn(list(filterfalse(older.__contains__, new)))
         return [b"".join(map(words.__getitem__, ws)) if ws is not None else self._whole(t) for ws, t in zip(split, texts)]
 
     def _words(self, text: str) -> list[str] | None:
         try:
-            text.encode("latin-1")
+            odd = text.encode("latin-1").translate(None, PLAIN)
         except UnicodeEncodeError:
             return None
-        return None if ODD(text) else WORDS(text.lower())
+        return None if odd or "<|" in text else WORDS(text.lower())
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -185,48 +186,52 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}  # a worker's, kept from task to task
 
 
+TOKENS = "doc_id long, ids binary, counts binary"
+
+
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): every whole text as little-endian 16-bit ids with the end id behind; a null text is empty."""
+    """(doc_id, ids, counts): every whole text as little-endian 16-bit ids with the end id behind; a null text is empty.
+
+    Each task adds one row without ids: its number of occurrences of every token, 64-bit, in ``counts``, which is null elsewhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = WordEncoder(tokenizer)
-        end = np.array([end_id], "<u2").tobytes()
+        end, total = np.array([end_id], "<u2").tobytes(), np.zeros(MOST_IDS, np.int64)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                yield {"doc_id": part.column(0), "ids": [x + end for x in _ENCODERS[tokenizer].encode(part.column(1).to_pylist())]}
+                ids = [x + end for x in _ENCODERS[tokenizer].encode(part.column(1).to_pylist())]
+                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=MOST_IDS)
+                yield {"doc_id": part.column(0), "ids": ids, "counts": [None] * len(ids)}
+        yield {"doc_id": [None], "ids": [None], "counts": [total.astype("<i8").tobytes()]}
 
-    return map_stream(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids binary")
+    return map_stream(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, TOKENS)
 
 
 # --- the store ---
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
-    """(token, n): occurrences over all documents, added up in each task before the shuffle."""
+    """(token, n): occurrences over all documents, from the counts that each task left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        total, held, size = np.zeros(MOST_IDS, np.int64), [], 0
+        total = np.zeros(MOST_IDS, np.int64)
         for b in batches:
-            for ids in b.column(0).to_pylist():
-                held.append(ids)
-                size += len(ids)
-                if size > 1 << 22:
-                    total += np.bincount(np.frombuffer(b"".join(held), "<u2"), minlength=MOST_IDS)
-                    held, size = [], 0
-        total += np.bincount(np.frombuffer(b"".join(held), "<u2"), minlength=MOST_IDS)
+            for raw in b.column(0).to_pylist():
+                total += np.frombuffer(raw, "<i8")
         used = np.flatnonzero(total)
         yield {"token": used.astype(np.int32), "n": total[used]}
 
-    return map_stream(tokens.select("ids"), run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return map_stream(tokens.where("counts IS NOT NULL").select("counts"), run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 BLOCKS = "part int, block int, part_start long, n_tokens long, doc_ids array<long>, lengths array<int>, payload binary"
 
 
 def write_store(tokens: DataFrame, path: str) -> None:
-    """Write (doc_id, ids) as a token store, documents in ascending order over its parts (null ids first, ties by their tokens).
+    """Write ``tokenised`` documents as a token store, documents in ascending order over its parts (null ids first, ties by their tokens).
 
     Only the frequency table (one row for each of at most 65,536 tokens) passes through the driver. Blocks are made
     while the sorted documents stream by, so memory holds one block and its longest document.
@@ -262,7 +267,7 @@ def write_store(tokens: DataFrame, path: str) -> None:
         if held:
             yield closed()
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = tokens.where("counts IS NULL").select("doc_id", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     map_stream(ordered, run, BLOCKS).write.parquet(f"{path}/blocks")
 
 
