@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyfold.llm import simhash
 from tallyfold.llm.common import map_batches, map_stream, staged
-from tallyfold.llm.components import components
+from tallyfold.llm.components import components, contracted
 
 SHINGLE = 5  # words
 SIMILARITY = 0.8
@@ -98,7 +98,7 @@ def grouped(nodes: DataFrame) -> DataFrame:
         equal = nodes.join(reps, nodes[f"fp{i}"] == reps["fp"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
         mine = ends.unionAll(equal.where("a <> b"))
         found = mine if found is None else found.unionAll(mine)
-    roots = components(found)
+    roots = staged(contracted(found), "near-roots")
     return roots.select("node", F.col("root").alias("group")).unionAll(roots.select(F.col("root").alias("node"), F.col("root").alias("group")).distinct())
 
 

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tallyfold.llm import near_copies
+from tallyfold.llm import components, near_copies
 
 from .conftest import prose
 
@@ -50,3 +50,22 @@ def test_odd_rows(odd_docs):
     assert kept.columns == odd_docs.columns and kept.where("doc_id = 1").count() == 1 and kept.where("doc_id in (2, 5, 6)").count() == 0
     assert kept.where("doc_id = 4").count() == 1 and kept.where("doc_id is null").count() == 1
     assert near_copies.deduplicated(odd_docs.limit(0)).count() == 0
+
+
+def test_contracted_components(spark):
+    """Chains, stars, repeated and self links, against union-find; every node but the roots once."""
+    rng = random.Random(12)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(60)] + [(7, 7), (2001, 2000)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = components.contracted(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == {x: find(x) for x in root if find(x) != x} and len(got) == sum(find(x) != x for x in root)
+    assert components.contracted(spark.createDataFrame([], "a long, b long")).count() == 0
