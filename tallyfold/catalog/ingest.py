@@ -39,10 +39,9 @@ def _(t):
 @query("s04_text_scan", "S4 X12 K12", uses="blocks", sql="SELECT 'log_' || user_id AS name, COUNT(*) AS records FROM events GROUP BY 1")
 def _(t):
     files = write_logs(t)
-    d = readers.with_lineage(readers.text_files(t.spark, files), "play-log-1")
-    marks = F.size(F.regexp_extract_all("value", F.lit(r"(Game Hand #\d+)"), F.lit(1)))
+    d = readers.with_lineage(readers.record_blocks(t.spark, files), "play-log-1")
     # one text file per writer task; the name inside the text is the record's own file
-    d = d.select(F.explode(F.regexp_extract_all("value", F.lit(r"Tournament #(\d+)"), F.lit(1))).alias("n"), "source_path", "content_sha256", marks.alias("m"))
+    d = d.select(F.explode(F.regexp_extract_all("value", F.lit(r"Tournament #(\d+)"), F.lit(1))).alias("n"), "source_path", "content_sha256")
     return d.groupBy(F.concat(F.lit("log_"), F.col("n")).alias("name")).agg(F.count("*").alias("records"))
 
 

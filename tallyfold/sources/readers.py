@@ -38,7 +38,7 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFra
 
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """Whole text files found recursively, with their path and name."""
+    """Whole text files found recursively, with their path and name. A file is one row, so it must fit in a task's memory; logs go through ``record_blocks``."""
     r = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return r.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"))
 
@@ -87,7 +87,7 @@ def align(df: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
 
 
 def with_lineage(files: DataFrame, version: str, text: str = "value") -> DataFrame:
-    """Source path, content hash and schema version on every ingested row."""
+    """Source path, hash of the row's own text (a record's, where files are cut into records) and schema version on every ingested row."""
     return files.select("*", F.col("file_path").alias("source_path"), F.sha2(text, 256).alias("content_sha256"), F.lit(version).alias("schema_version"))
 
 
