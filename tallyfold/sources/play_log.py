@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyfold.functions import fixed_values as fv
@@ -148,22 +151,37 @@ def block_actions(blocks: DataFrame, *keep: str) -> DataFrame:
     post_ps = r"(?i)^(?:\S+):\s+(?:coloca\s+ante|paga\s+o\s+(?:small blind|big blind))\s+\$?([\d.,]+)"
     acr = F.col("site") == "acr"
 
+    def has(x: Column, words: tuple[str, ...]) -> Column:
+        return reduce(or_, [x.contains(w) for w in words])
+
+    # What a pattern can match holds one of its words, in any case: most lines hold none and go before any pattern is tried.
+    def acts_in(low: Column) -> Column:
+        return F.when(acr, has(low, ("folds", "checks", "calls", "bets", "raises"))).otherwise(has(low, ("desiste", "passa", "iguala", "aposta", "aumenta")))
+
+    def posts_in(low: Column) -> Column:
+        return F.when(acr, low.contains("posts")).otherwise(has(low, ("coloca", "paga")))
+
     def read(x: Column) -> Column:
-        grp = lambda i: F.when(acr, F.regexp_extract(x, verb_acr, i)).otherwise(F.regexp_extract(x, verb_ps, i))
-        up, low = F.upper(x), F.lower(x)
+        grp = lambda i: F.when(x["acts"], F.when(acr, F.regexp_extract(x["t"], verb_acr, i)).otherwise(F.regexp_extract(x["t"], verb_ps, i))).otherwise("")
+        up = F.upper(x["t"])
         return F.struct(
-            F.when(up.contains("*** FLOP ***"), "FLOP").when(up.contains("*** TURN ***"), "TURN").when(up.contains("*** RIVER ***"), "RIVER").alias("marker"),
-            (up.contains("*** SUMMARY ***") | up.contains("*** RESUMO ***")).alias("stop"),
-            amount(F.when(acr, F.regexp_extract(x, post_acr, 1)).otherwise(F.regexp_extract(x, post_ps, 1))).alias("posted"),
+            F.when(x["mark"], F.when(up.contains("*** FLOP ***"), "FLOP").when(up.contains("*** TURN ***"), "TURN").when(up.contains("*** RIVER ***"), "RIVER")).alias("marker"),
+            (x["mark"] & (up.contains("*** SUMMARY ***") | up.contains("*** RESUMO ***"))).alias("stop"),
+            F.when(x["posts"], F.when(acr, F.regexp_extract(x["t"], post_acr, 1)).otherwise(F.regexp_extract(x["t"], post_ps, 1))).otherwise("").alias("post"),
             F.trim(grp(1)).alias("actor"), F.lower(grp(2)).alias("verb"), grp(3).alias("a1"), grp(4).alias("a2"),
-            (low.contains("all-in") | low.contains("all in")).alias("all_in"),
+            (x["low"].contains("all-in") | x["low"].contains("all in")).alias("all_in"),
         )
 
-    def classed(x: Column) -> Column:
-        is_act = (x["verb"] != "") & (x["posted"] == 0)
+    def priced(x: Column) -> Column:
+        posted = F.when(x["post"] == "", 0.0).otherwise(amount(x["post"]))
+        return F.struct(x.alias("x"), posted.alias("posted"), F.when(x["a2"] != "", x["a2"]).otherwise(x["a1"]).alias("paid"))
+
+    def classed(y: Column) -> Column:
+        x = y["x"]
+        is_act = (x["verb"] != "") & (y["posted"] == 0)
         return F.struct(
-            x["marker"].alias("marker"), x["stop"].alias("stop"), x["posted"].alias("posted"), x["actor"].alias("actor"), x["all_in"].alias("all_in"),
-            F.when(is_act, lookup(x["verb"], fv.VERBS, "")).alias("type"), F.when(is_act, amount(F.when(x["a2"] != "", x["a2"]).otherwise(x["a1"]))).otherwise(0.0).alias("amount"),
+            x["marker"].alias("marker"), x["stop"].alias("stop"), y["posted"].alias("posted"), x["actor"].alias("actor"), x["all_in"].alias("all_in"),
+            F.when(is_act, lookup(x["verb"], fv.VERBS, "")).alias("type"), F.when(is_act & (y["paid"] != ""), amount(y["paid"])).otherwise(0.0).alias("amount"),
         )
 
     def step(s: Column, x: Column) -> Column:
@@ -177,9 +195,11 @@ def block_actions(blocks: DataFrame, *keep: str) -> DataFrame:
             F.when(live & x["type"].isNotNull(), F.concat(s["acts"], F.array(act))).otherwise(s["acts"]).alias("acts"),
         )
 
-    lines = F.filter(F.transform(F.split("raw", "\n"), F.trim), lambda x: x != "")
+    lines = F.transform(F.transform(F.split("raw", "\n"), F.trim), lambda x: F.struct(x.alias("t"), F.lower(x).alias("low")))
+    lines = F.transform(lines, lambda x: F.struct(x["t"].alias("t"), x["low"].alias("low"), x["t"].contains("***").alias("mark"), acts_in(x["low"]).alias("acts"), posts_in(x["low"]).alias("posts")))
+    lines = F.filter(lines, lambda x: x["mark"] | x["acts"] | x["posts"])
     start = F.struct(F.lit("PREFLOP").alias("street"), F.lit(False).alias("stopped"), F.lit(0.0).alias("pot"), F.array().cast(ACTION).alias("acts"))
-    acts = F.aggregate(F.transform(F.transform(lines, read), classed), start, step, lambda s: s["acts"])
+    acts = F.aggregate(F.transform(F.transform(F.transform(lines, read), priced), classed), start, step, lambda s: s["acts"])
     d = blocks.select(*keep, F.posexplode(acts).alias("_at", "_act"))
     return d.select(*keep, (F.col("_at") + 1).alias("action_order"), "_act.*")
 

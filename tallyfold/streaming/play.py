@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyfold.functions.numeric import count_where, ratio
 from tallyfold.plans import audit_log, entities, requests as rq
+from tallyfold.session import written
 from tallyfold.sources import play_log, readers
 from tallyfold.streaming import drains
 
@@ -29,7 +30,7 @@ def ingest_logs(spark: SparkSession, path: str, hero: str, base: str | None = No
     blocks = play_log.split_blocks(readers.with_header(text, readers.ACR_HEADER))
 
     def step(df: DataFrame, i: int, b: str) -> None:
-        one = df.withColumn("record", play_log.record_key()).dropDuplicates(["record"])
+        one = written(df.withColumn("record", play_log.record_key()).dropDuplicates(["record"]), "log-batch")  # read for facts and for actions
         facts = play_log.parse_records(one, hero)
         facts.drop("raw").write.mode("overwrite").parquet(f"{b}/facts/batch={i}")
         play_log.block_actions(one, "record").write.mode("overwrite").parquet(f"{b}/actions/batch={i}")
