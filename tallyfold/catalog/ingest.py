@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.catalog.registry import query
 from tallyfold.plans import play_stats as ps
-from tallyfold.session import scratch_path
+from tallyfold.session import scratch_path, written
 from tallyfold.sources import bucketed, file_versions, play_log as pl, readers, sinks
 
 COLS = [f.name for f in readers.PLAY_SCHEMA.fields]
@@ -209,7 +209,7 @@ def _(t):
     """Stored actions of all records; a backfill brings half of them again, a third of those without any action."""
     files = readers.record_blocks(t.spark, write_logs(t))
     b = pl.split_blocks(files).withColumn("hand_id", F.regexp_extract("raw", r"Game Hand #(\d+)", 1))
-    acts = pl.block_actions(b, "hand_id")
+    acts = written(pl.block_actions(b, "hand_id"), "actions")  # stored and brought again
     path = scratch_path(t.spark, "bucketed-actions")
     bucketed.create(acts.withColumn("action_type", F.lit("OLD")), path, ["hand_id"], BUCKETS)
     even = F.col("hand_id").cast("long") % 2 == 0

@@ -55,7 +55,7 @@ def _touched(new: DataFrame) -> list[int]:
 def upsert(spark: SparkSession, path: str, new: DataFrame, update: Sequence[str]) -> list[int]:
     """Insert-or-update the chosen columns (none: insert-or-ignore); ``new`` has one row per key. Returns the buckets that were rewritten."""
     key, n = layout(spark, path)
-    dealt = new.withColumn(BUCKET, bucket_of(key, n))
+    dealt = written(new.withColumn(BUCKET, bucket_of(key, n)), "bucket-new")  # computed once for its buckets and the merge
     hit = _touched(dealt)
     if hit:
         _replace(written(sinks.upsert(_rows(spark, path, hit), dealt, [*key, BUCKET], update), "bucket-merge"), path)
@@ -68,12 +68,13 @@ def replace_children(spark: SparkSession, path: str, new: DataFrame, parents: Da
     ``parents`` names touched parents beyond those that ``new`` has children of; they lose theirs.
     """
     key, n = layout(spark, path)
-    touched = new.select(*key) if parents is None else new.select(*key).unionByName(parents.select(*key))
-    touched = touched.distinct().withColumn(BUCKET, bucket_of(key, n))
+    dealt = written(new.withColumn(BUCKET, bucket_of(key, n)), "bucket-new")  # computed once for its parents and the merge
+    touched = dealt.select(*key) if parents is None else dealt.select(*key).unionByName(parents.select(*key))
+    touched = written(touched.distinct().withColumn(BUCKET, bucket_of(key, n)), "bucket-touched")
     hit = _touched(touched)
     if hit:
         kept = _rows(spark, path, hit).join(touched, [*key, BUCKET], "left_anti")
-        merged = written(kept.unionByName(new.withColumn(BUCKET, bucket_of(key, n))), "bucket-merge")
+        merged = written(kept.unionByName(dealt), "bucket-merge")
         _replace(merged, path)
         empty = set(hit) - {r[0] for r in merged.select(BUCKET).distinct().collect()}
         if empty:  # a bucket that lost its last row has nothing to be replaced with

@@ -56,3 +56,22 @@ def test_last_row_of_a_bucket_goes(spark, tmp_path):
     assert [tuple(r) for r in bucketed.read(spark, path).collect()] == [("b", 2)]
     bucketed.rebucket(spark, path, str(tmp_path / "f"), 4)
     assert bucketed.layout(spark, str(tmp_path / "f")) == (["parent"], 4) and bucketed.read(spark, str(tmp_path / "f")).count() == 1
+
+
+@pytest.mark.parametrize("change", ["upsert", "children"])
+def test_new_rows_are_computed_once(spark, tmp_path, change):
+    """What comes in may be dear to compute (parsed logs), so it is not computed again for each use."""
+    path, seen = str(tmp_path / "o"), spark.sparkContext.accumulator(0)
+    bucketed.create(spark.range(50).selectExpr("id AS key", "'old' AS v"), path, ["key"], 4)
+
+    def count(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    new = spark.createDataFrame(spark.range(20).rdd.mapPartitions(count).map(lambda r: (r[0], "new")), "key long, v string")
+    if change == "upsert":
+        bucketed.upsert(spark, path, new, ["v"])
+    else:
+        bucketed.replace_children(spark, path, new)
+    assert seen.value == 20 and bucketed.read(spark, path).where("v = 'new'").count() == 20
