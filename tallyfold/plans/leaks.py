@@ -440,12 +440,13 @@ def tilt_detection(prep: DataFrame) -> DataFrame:
 def sizing_shares(prep: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """For every sizing column, the share of sizes above their own 90th percentile; rows with no size lower the share.
 
-    All columns are unpivoted into (name, size), so their quantiles are one scan, whatever their number.
+    All columns are unpivoted into (name, size), so their quantiles are one scan, whatever their number. The quantiles are one row for each
+    column (and slice), so they are broadcast: joined by a shuffle, all play of a column would go to one task.
     """
     keys = [*extra, "size_name"]
     each = prep.select(*[c for c in prep.columns if c != "sizes"], F.inline("sizes"))
     q = exact_quantiles(each.select(*keys, "size"), keys, F.col("size"), {"q90": 0.9})
-    return each.join(q, keys).groupBy(*keys).agg(
+    return each.join(F.broadcast(q), keys).groupBy(*keys).agg(
         F.expr("avg(IF(size > q90, 1D, 0D))").alias("ratio"),
         F.expr("count(size)").alias("n"),
         F.expr("sum(IF(size IS NOT NULL, amount_bb, NULL))").alias("ev_real"),

@@ -1,5 +1,7 @@
 """The leak chain on repeated hands and several sizing columns; what a player had seen before acting."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +44,17 @@ def test_seen_before_acting(spark, acts, want):
     d = spark.createDataFrame(rows, "record string, action_order int, street string, actor_id string, action_type string, amount double")
     got = dc.before_acting(d, "H", spark.createDataFrame([("r", 100)], "record string, big_blind int")).collect()
     assert [tuple(r)[1:] for r in got] == ([want] if want else [])
+
+
+def test_play_of_one_sizing_column_is_not_one_task(spark):
+    """The percentile of a column is joined by broadcast: a shuffle by the column's name would send all of its play to one task."""
+    d = spark.range(40).selectExpr(*SPOT, "CAST(id AS DOUBLE) AS bet_size")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        shares = lk.sizing_shares(lk.prepare(d))
+        plan = shares._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"SortMergeJoin \[size_name#\d+\]", plan) and re.search(r"BroadcastHashJoin \[size_name#\d+\]", plan)
+        assert [(r["size_name"], r["n"], r["ratio"]) for r in shares.collect()] == [("bet_size", 40, 0.1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
