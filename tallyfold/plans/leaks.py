@@ -86,9 +86,15 @@ def prepare(hands: DataFrame, clusters: DataFrame | None = None, keep: Sequence[
 
 
 def prepare_once(hands: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Deduplicated hands prepared and written, with clusters by rule: the one pass over play that all detectors share."""
+    """Deduplicated hands prepared and written, with clusters by rule: the one pass over play that all detectors share.
+
+    Clusters are written too: their size is known before play is joined, so play is not dealt by opponent where they are few.
+    They have one row for each opponent; that ``dropDuplicates`` tells it lets readers that need no cluster leave out the join.
+    """
     one = written(open_prepared(deduped(hands), keep), "prepared")
-    return with_clusters(one, cluster_by_rule(prepared_rates(one)) if "_okey" in one.columns else None)
+    if "_okey" not in one.columns:
+        return with_clusters(one, None)
+    return with_clusters(one, written(cluster_by_rule(prepared_rates(one)), "clusters").dropDuplicates(["opponent_key"]))
 
 
 def open_prepared(hands: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -58,3 +58,19 @@ def test_play_of_one_sizing_column_is_not_one_task(spark):
         assert [(r["size_name"], r["n"], r["ratio"]) for r in shares.collect()] == [("bet_size", 40, 0.1)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_play_is_not_dealt_by_opponent(spark):
+    """Clusters of few opponents are known to be small before the join, and what needs no cluster does not join them."""
+    d = spark.range(4000).selectExpr(*SPOT, "CAST(id AS DOUBLE) AS bet_size", "CONCAT('V', id % 3) AS villain_id")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        prep = lk.prepare_once(d)
+        groups = lk.base_groups(prep)
+        plan = groups._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and re.search(r"BroadcastHashJoin \[opponent_key#\d+\]", plan)
+        assert not re.search(r"Join \[opponent_key#\d+\]", lk.sizing_shares(prep)._jdf.queryExecution().executedPlan().toString())
+        assert groups.agg(F.sum("s_n")).first()[0] == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
